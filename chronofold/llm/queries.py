@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronofold.llm import bpe, langid, packing, tokencount
+from chronofold.llm import bpe, langid, minhash, packing, tokencount, topk
 from chronofold.llm.common import table
 
 
@@ -14,10 +14,18 @@ def op3_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_top_k(spark, sf_dir):
+    return topk.search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op10_token_counts(spark, sf_dir):
     return tokencount.count_documents(table(spark, sf_dir, "documents"))
 
@@ -25,9 +33,20 @@ def op10_token_counts(spark, sf_dir):
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_language_id": op3_language_id,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_packing": op5_packing,
+    "op8_minhash": op8_minhash,
     "op10_token_counts": op10_token_counts,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_exact_top_k": """
+        WITH rows AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::DOUBLE) AS v FROM embeddings
+                      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        scored AS (SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.v, d.v)::BIGINT AS score
+                   FROM rows q JOIN rows d ON d.vec_id <> q.vec_id AND q.vec_id % 50 = 0 AND len(q.v) = len(d.v))
+        SELECT query_id, rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored) WHERE rank <= 5
+    """,
+}
