@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronofold.llm import bpe, langid, minhash, packing, tokencount, topk
+from chronofold.llm import bpe, langid, minhash, packing, pii, quality, secretscan, sharding, tokencount, topk
 from chronofold.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_byte_bpe(spark, sf_dir):
     return bpe.digest_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark, sf_dir):
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -22,20 +26,36 @@ def op5_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark, sf_dir):
+    return secretscan.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op9_sharding(spark, sf_dir):
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark, sf_dir):
     return tokencount.count_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_pii": op2_pii,
     "op3_language_id": op3_language_id,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_packing": op5_packing,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_quality_rules": op7_quality_rules,
     "op8_minhash": op8_minhash,
+    "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
 }
 
