@@ -70,3 +70,13 @@ def free_name(df: DataFrame, stem: str) -> str:
 def text_of(df: DataFrame, column: str = "text"):
     """The text, empty where it is null."""
     return F.coalesce(df[column], F.lit(""))
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number >= 0 a row.
+
+    A condition that names it is evaluated on the columns above as they were
+    computed; without it the optimizer would copy their long expressions into
+    filters further down.
+    """
+    return df.withColumn(name, F.monotonically_increasing_id())

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import save
+from chronofold.llm.common import numbered, save
 from chronofold.llm.spans import found, let
 
 KINDS = ("email", "ip", "card", "phone")
@@ -146,7 +146,7 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 def vote_patterns(rows: DataFrame) -> list[tuple]:
     """(kind, base, votes..., count) over rows of `candidates`; at most 2 * 3^labelers rows a kind."""
     marked = lambda spans, base: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), F.lit(base).alias("base"), s["v"].alias("v")))
-    each = rows.where((F.size("base") > 0) | (F.size("more") > 0)).select(F.explode(F.concat(marked("base", True), marked("more", False))).alias("s"))
+    each = numbered(rows.select("base", "more"), "number").select(F.explode(F.when(F.col("number") >= 0, F.concat(marked("base", True), marked("more", False)))).alias("s"))
     counted = each.groupBy("s.kind", "s.base", *[F.col(f"s.v.{x}").alias(x) for x in LABELERS]).agg(F.count(F.lit(1)).alias("n"))
     return sorted(tuple(r) for r in counted.collect())
 

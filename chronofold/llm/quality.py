@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofold.llm.common import numbered
+
 #: Name, meaning and test of each rule over the measurements; the position is the bit.
 RULES: list[tuple[str, str]] = [
     ("few_words", "n_words < 50"),
@@ -115,4 +117,5 @@ def judge(docs: DataFrame, version: int = POLICY) -> DataFrame:
 
 def keep_good(docs: DataFrame, version: int = POLICY) -> DataFrame:
     """The rows of docs, columns and all, that pass a policy."""
-    return ledger(docs).where(passes(F.col("failed"), version)).select("row.*")
+    rows = numbered(ledger(docs).select("row", "failed"), "number")
+    return rows.where(passes(F.col("failed"), version) & (F.col("number") >= 0)).select("row.*")

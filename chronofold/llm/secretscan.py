@@ -5,8 +5,8 @@ Features are the candidate's length, its character classes and transitions, how
 much of it a dictionary covers, whether it looks like a path, and the words
 beside it.  The forest is trained on labelled findings (before, candidate,
 after, secret): small trees grown on the driver from the bounded feature rows
-of those findings, and compiled back into one column expression, so scanning a
-corpus is one narrow pass.
+of those findings, and put back into the plan as arrays of nodes that one column
+expression walks, so scanning a corpus is one narrow pass.
 
 Without findings of one's own, ``default_findings`` makes a fixed set of them:
 keys of common shapes in assignments and headers as secrets; identifiers,
@@ -153,19 +153,33 @@ def vote(forest: list, values: tuple) -> float:
     return total / len(forest)
 
 
-def compiled(forest: list, made: Column) -> Column:
-    """The same as a column over a struct of features."""
+def _flat(forest: list) -> tuple[list[int], list[float], list[float]]:
+    """Features and edges of complete trees of DEPTH levels, node n's children being 2n+1 and 2n+2, and their leaves."""
+    feature, edge, leaf = [], [], []
+    for root in forest:
+        level = [root]
+        for _ in range(DEPTH):
+            below = []
+            for node in level:
+                k, at, low, high = node if isinstance(node, tuple) else (0, 0.0, node, node)
+                feature.append(k)
+                edge.append(float(at))
+                below += [low, high]
+            level = below
+        leaf += [float(x) for x in level]
+    return feature, edge, leaf
 
-    def tree(node) -> Column:
-        if not isinstance(node, tuple):
-            return F.lit(float(node))
-        k, edge, low, high = node
-        return F.when(made[FEATURES[k]] < edge, tree(low)).otherwise(tree(high))
 
-    total = tree(forest[0])
-    for node in forest[1:]:
-        total = total + tree(node)
-    return total / len(forest)
+def compiled(forest: list, values: Column) -> Column:
+    """The same as `vote` as a column over an array of feature values: a walk down each tree by number."""
+    inner, leaves = 2**DEPTH - 1, 2**DEPTH
+    feature, edge, leaf = (F.lit(x) for x in _flat(forest))
+
+    def walk(tree: Column) -> Column:
+        down = lambda n, _: 2 * n + 1 + F.when(F.get(values, F.get(feature, tree * inner + n)) < F.get(edge, tree * inner + n), 0).otherwise(1)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), F.lit(0), down, lambda n: F.get(leaf, tree * leaves + n - inner))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(forest) - 1)), F.lit(0.0), lambda total, tree: total + walk(tree)) / len(forest)
 
 
 def scanned(docs: DataFrame, forest: list, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -178,7 +192,7 @@ def scanned(docs: DataFrame, forest: list, text: str = "text", threshold: float
     def scored(s: Column) -> Column:
         begin = F.greatest(s["start"] - BEFORE, F.lit(0))
         made = features(F.substring(F.col("t"), begin + 1, s["start"] - begin), s["value"], F.substring(F.col("t"), s["end"] + 1, F.lit(AFTER)))
-        return let(F.struct(*[made[x].alias(x) for x in FEATURES]), lambda m: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), compiled(forest, m).alias("score")))
+        return let(F.array(*[made[x] for x in FEATURES]), lambda m: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), compiled(forest, m).alias("score")))
 
     rows = rows.select("row", "t", "c", F.when(F.size("c") > 0, F.transform("c", scored)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string,score:double>>")).alias("scored"))
     return rows.select("row", "t", F.size("c").cast("bigint").alias("n_candidates"), F.filter("scored", lambda s: s["score"] >= threshold).alias("secrets"))
