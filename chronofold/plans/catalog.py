@@ -1,6 +1,10 @@
-"""All queries of the engine's own operators and their SQL."""
+"""All queries of the engine's own operators with the DuckDB SQL that must give the same rows."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLES = {}
+from chronofold.plans import queries_events, queries_functions, queries_graph, queries_records, queries_spatial
+
+QUERIES, ORACLES = {}, {}
+for part in (queries_records, queries_events, queries_spatial, queries_functions, queries_graph):
+    QUERIES |= part.BOOK.queries
+    ORACLES |= part.BOOK.oracles
