@@ -1,0 +1,439 @@
+"""The training-data operators against brute force, on texts of every awkward kind."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+from array import array
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer, models, pre_tokenizers
+
+import corpus_pipeline
+from chronofold.llm import bpe, langid, minhash, packing, pii, quality, secretscan, sharding, tokencount, topk
+
+DATA = "/root/testdata/sf0.001"
+# columns that clash with names the operators use
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, kept boolean, failed long, number int, t string, base string, bands string, n_tokens string, component string, `group` int, made string"
+RNG = random.Random(11)
+WORDS = ["the", "rain", "Der", "und", "über", "naïve", "日本", "token", "stone", "a", "b", "x" * 40]
+
+
+def _text(n):
+    return " ".join(RNG.choice(WORDS) + str(RNG.randint(0, 9)) for _ in range(n))
+
+
+LONG = _text(30_000)
+NEAR = _text(200)
+TEXTS = [
+    None, "", " \n\t ", "one", "two words", "one", LONG, "x" * 50_000, NEAR, NEAR + " tail", NEAR, "Tab\tand  double   spaces \n \n end ",
+    "mail a.b@c.de, ip 10.0.0.1 and 300.1.2.3, card 4111 1111 1111 1111, phone +1 (212) 555-0100", "call me at 555 123 4567 please", 'token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"',
+    "a b c a b c a b c " * 20, "*** ### $$$ " * 60, "ALL CAPS!! " * 60, "line\nline\nline\nother\n" * 30, "1.2.3.4 " * 600, "<|endoftext|> it's we'll ''' Σίσυφος İ ﬁ é",
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en" if i % 2 else None, None, None, "r", True, 5, 1, "t", "b", "z", "n", "c", 7, "m") for i, t in enumerate(TEXTS)]
+    rows += [rows[3], rows[3], (None, "no id here", "en", *rows[0][3:])]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def test_every_operator_takes_empty_tables(spark, empty):
+    for f in (bpe.digest_documents, bpe.encode_documents, pii.find_personal_data, langid.identify, langid.keep_identified, packing.pack_documents, secretscan.scan, quality.judge, quality.keep_good, minhash.near_duplicates, minhash.keep_one_of_each, sharding.shard_documents, tokencount.count_documents, pii.redact):
+        assert f(empty).collect() == [], f.__name__
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert topk.search_embeddings(none).collect() == []
+
+
+# 1
+
+
+@pytest.fixture(scope="module")
+def tik():
+    ranks = bpe.load_ranks(P.path(bpe.VOCABULARY))
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_documents(docs, tik):
+    got = bpe.digest_documents(docs).collect()
+    assert len(got) == len(TEXTS) + 3
+    for r in got:
+        text = ("no id here" if r.doc_id is None else TEXTS[r.doc_id]) or ""
+        ids = tik.encode_ordinary(text)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()), r.doc_id
+
+
+def test_bpe_decodes(docs):
+    back = by_id(bpe.decode_documents(bpe.encode_documents(docs)))
+    assert all(bytes(back[i].bytes) == (t or "").encode() for i, t in enumerate(TEXTS))
+
+
+def test_bpe_appends_and_edits(tik):
+    vocabulary = bpe.encoder(P.path(bpe.VOCABULARY)).vocabulary
+    state, data = bpe.PrefixState(vocabulary), b""
+    for _ in range(40):
+        more = bytes(RNG.choice(b"aeinrst .") for _ in range(RNG.randint(1, 9)))
+        state.append(more)
+        data += more
+        assert state.tokens() == tik._encode_single_piece(data)
+    for _ in range(40):
+        a = RNG.randint(0, len(data))
+        b, new = RNG.randint(a, len(data)), bytes(RNG.choice(b"aeinrst") for _ in range(RNG.randint(0, 4)))
+        state.replace(a, b, new)
+        data = data[:a] + new + data[b:]
+        assert state.tokens() == tik._encode_single_piece(data)
+
+
+def test_bpe_fuzz(tik):
+    own = bpe.encoder(P.path(bpe.VOCABULARY))
+    for _ in range(1500):
+        text = "".join(RNG.choice("ab '\n\t re1é日 -") for _ in range(RNG.randint(0, 40)))
+        assert own.encode(text) == tik.encode_ordinary(text), repr(text)
+
+
+# 2
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def _passes(kind, s):
+    digits = [int(c) for c in s if c.isdigit()]
+    if kind == "card":
+        doubled = [d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits[::-1])]
+        return 13 <= len(digits) <= 19 and sum(doubled) % 10 == 0
+    return {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in s.split(".")), "phone": 9 <= len(digits) <= 15}[kind]
+
+
+def _base(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in BASE.items() for m in re.finditer(p, text) if _passes(k, m.group(0))]
+
+
+def test_pii_spans(spark, docs):
+    noise = ["".join(RNG.choice(RNG.choice(["0123456789. -", "ab.@-", "+1 ()555-", "é😀 4111", "a1@b.c.", "255.1"])) for _ in range(90)) for _ in range(400)]
+    extra = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(noise)], "doc_id long, text string")
+    got = by_id(pii.find_personal_data(docs.where("doc_id is not null").select("doc_id", "text").dropDuplicates(["doc_id"]).unionByName(extra)))
+    texts = dict(enumerate(TEXTS)) | {1000 + i: t for i, t in enumerate(noise)}
+    for i, text in texts.items():
+        base = _base(text or "")
+        assert got[i].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest(), (i, text)
+        assert set(base) <= set(got[i].spans.split(",")) | {""}
+        assert [got[i][f"n_{k}"] for k in BASE] == [sum(b.startswith(k) for b in base) for k in BASE]
+    assert got[13].spans == "phone:11:23"
+
+
+def test_pii_redacts(docs):
+    got = by_id(pii.redact(docs))
+    assert got[12].text == "mail [EMAIL], ip [IP] and 300.1.2.3, card [CARD], phone [PHONE]"
+    assert got[0].text is None and got[6].text == LONG and got[12].row == "r"
+    assert pii.redact(docs).columns == docs.columns
+
+
+def test_pii_reliabilities_stay_sane():
+    accuracy, belief = pii.reliabilities([("phone", True, 1, 1, 1, 50), ("phone", False, -1, 1, 1, 5), ("card", False, 0, -1, 0, 9)])
+    assert all(0.55 <= a <= 0.95 for a in accuracy.values())
+    assert belief[("phone", False, -1, 1, 1)] > 0.5 > belief[("card", False, 0, -1, 0)]
+
+
+# 3
+
+
+def test_language_held_out_accuracy(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.identify(rows).join(rows.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    assert held and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97
+    assert sum(r.rejected for r in got) <= 0.01 * len(got) and all(0 <= r.score <= 1 for r in got)
+
+
+def test_language_edges(docs):
+    got = langid.identify(docs).collect()
+    assert len(got) == len(TEXTS) + 3
+    for r in got:
+        text = "no id here" if r.doc_id is None else TEXTS[r.doc_id]
+        if text is None or not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+    assert langid.keep_identified(docs).columns == docs.columns
+
+
+# 4
+
+
+def test_top_k_is_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(700, 6)).round(1))] + [(700 + i, [0.5] * 6) for i in range(200)]
+    bad = [(2000, None), (2050, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (2100, [float("nan")] * 6), (2150, [float("inf")] * 6)]
+    table = spark.createDataFrame([(*r, "x") for r in rows + bad], "vec_id long, embedding array<float>, score string")
+    vectors = {i: np.floor(256 * np.array(v, np.float32).astype(float)).astype(np.int64) for i, v in rows}
+    got = collections.defaultdict(list)
+    for r in topk.search_embeddings(table).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    want = {q: sorted(((i, int(vectors[q] @ v)) for i, v in vectors.items() if i != q), key=lambda x: (-x[1], x[0]))[:5] for q in vectors if q % 50 == 0}
+    assert dict(got) == want
+
+
+def test_top_k_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "DATA_BLOCK", 60)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    rows = [(i, [float((i * 7) % 13), float(i % 5)]) for i in range(250)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in topk.search_embeddings(table).collect())
+    want = []
+    for q, v in rows:
+        if q % 50 == 0:
+            ranked = sorted(((-sum(a * b * 65536 for a, b in zip(v, w)), i) for i, w in rows if i != q))[:5]
+            want += [(q, n + 1, i) for n, (_, i) in enumerate(ranked)]
+    assert got == sorted(want)
+
+
+def test_cover_tree_covers():
+    points = np.random.default_rng(1).integers(-50, 50, (900, 4)).astype(float)
+    tree = topk.CoverTree(points, 16)
+    for centre, radius, rows, children in zip(tree.centre, tree.radius, tree.members, tree.children, strict=True):
+        assert np.sqrt(((points[rows] - centre) ** 2).sum(axis=1)).max() <= radius + 1e-9
+        assert not children or sorted(np.concatenate([tree.members[c] for c in children])) == sorted(rows)
+
+
+# 5
+
+
+def test_packing(docs):
+    hf = Tokenizer.from_file(P.path(packing.VOCABULARY))
+    hf.encode_special_tokens = True
+    rows = packing.pack_documents(docs).collect()
+    pieces, places = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+        places[r.sequence_id].append((r.offset, r.length))
+    for i, t in enumerate(TEXTS):
+        ids = [*hf.encode(t or "", add_special_tokens=False).ids, 1]
+        own = sorted(pieces[i], key=lambda r: r.piece)[:: 3 if i == 3 else 1]
+        assert [r.start for r in own] == list(range(0, len(ids), 4096))
+        for r in own:
+            part = array("I", ids[r.start : r.start + 4096])
+            assert (r.length, r.ids_crc32) == (len(part), zlib.crc32(part.tobytes()))
+    assert len(pieces[3]) == 3 and len(pieces[None]) == 1
+    for own in places.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(places) == -(-sum(r.length for r in rows) // 4096)
+
+
+def test_sum_of_squares_follows_its_rule():
+    size, lengths = 12, [RNG.randint(1, 12) for _ in range(120)]
+    gaps, want = [], []
+    for n in lengths:
+        def cost(gap):
+            count = collections.Counter(g for g in gaps if g)
+            if gap == size:
+                count[size - n] += n < size
+            else:
+                count[gap] -= 1
+                count[gap - n] += gap > n
+            return sum(v * v for g, v in count.items() if g)
+        best = min([g for g in set(gaps) if g >= n] + [size], key=lambda g: (cost(g), g))
+        want.append(best)
+        if best != size:
+            gaps.remove(best)
+        gaps.append(best - n)
+    place, offset = packing.sum_of_squares(np.array(lengths), size)
+    assert [size - o for o in offset] == want
+
+
+# 6
+
+
+def test_secrets(spark, docs):
+    got = by_id(secretscan.scan(docs))
+    assert (got[14].n_secrets, got[14].spans) == (1, "9:49")
+    assert got[0].n_candidates == got[6].n_secrets == 0
+    forest = secretscan.train(secretscan.findings_table(spark, secretscan.default_findings()))
+    unseen = secretscan.findings_table(spark, secretscan.default_findings(800, seed=5))
+    made = secretscan.features(F.col("before"), F.col("candidate"), F.col("after"))
+    values = F.array(*[made[x] for x in secretscan.FEATURES])
+    rows = unseen.select("secret", values.alias("v"), secretscan.compiled(forest, values).alias("p")).collect()
+    assert sum((r.p >= 0.5) == bool(r.secret) for r in rows) / len(rows) > 0.95
+    assert all(abs(r.p - secretscan.vote(forest, tuple(r.v))) < 1e-9 for r in rows)
+
+
+# 7
+
+
+def _measured(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    windows = collections.Counter(zip(w, w[1:], w[2:]))
+    covered = {k for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for k in (i, i + 1, i + 2)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality(docs):
+    got = by_id(quality.judge(docs))
+    for i, t in enumerate(TEXTS):
+        r = got[i]
+        m = _measured(t or "")
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == m, i
+        assert r.base_failed == (m[0] < 50 or 100 * m[4] > 50 * m[0])
+        assert not (r.kept and r.base_failed)
+    assert got[6].kept and got[8].kept and not got[16].kept and not got[17].kept
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
+
+
+def test_quality_ablations(docs):
+    rows = [r.failed & quality.POLICIES[3] for r in quality.judge(docs).collect()]
+    for r in quality.ablations(quality.ledger(docs)).collect():
+        bit = quality.BITS[r.rule]
+        assert (r.n_failed, r.n_only) == (sum(bool(x & bit) for x in rows), sum(x == bit for x in rows))
+
+
+# 8
+
+
+def _components(sets, percent):
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            common = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in ids}
+
+
+def _shingles(text, size):
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    return {tuple(w)} if 0 < len(w) < size else {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if w else set()
+
+
+def test_near_duplicates(spark, docs):
+    base = [f"w{RNG.randint(0, 10_000)}" for _ in range(120)]
+    texts = {}
+    for i in range(150):  # chains: neighbours are alike, far ones are not
+        if RNG.random() < 0.8:
+            base = [x if RNG.random() > 0.04 else f"w{RNG.randint(0, 10_000)}" for x in base]
+        texts[100 + i] = " ".join(base)
+    for i in range(120):  # a template with many edits each
+        texts[300 + i] = " ".join(x if RNG.random() > 0.05 else f"v{RNG.randint(0, 999)}" for x in base)
+    more = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = by_id(minhash.near_duplicates(docs.select("doc_id", "text").unionByName(more), 2, 80))
+    sets = {i: _shingles(t, 2) for i, t in (dict(enumerate(TEXTS)) | texts).items()}
+    want = _components(sets, 80)
+    assert {i: got[i].component_id for i in sets} == want
+    assert all(got[i].n_shingles == len(s) and got[i].kept == (want[i] == i) for i, s in sets.items())
+    assert got[None].component_id is None and got[None].kept
+
+
+def test_missed_links_are_found():
+    # x is close to y, but both are far from the centre of their bucket
+    codes = np.unique(np.random.default_rng(2).integers(0, 2**63, 400).astype(np.uint64))
+    x, y = codes[:300], codes[10:310]
+    found = minhash.block_links(([5], [5], [x]), ([7, 8], [7, 8], [y, codes[200:]]), 80)
+    assert found == [(5, 7)]
+
+
+def test_one_of_each_stays(docs):
+    kept = minhash.keep_one_of_each(docs, 5, 80)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert ids.count(3) == 1 and 5 not in ids and 9 not in ids and 10 not in ids and {0, 1, 2, 8, None} <= set(ids)
+
+
+# 9
+
+
+def test_sharding(docs):
+    rows = sharding.shard_documents(docs, 3).collect()
+    assert len(rows) == len(TEXTS) + 3
+    load = collections.Counter()
+    for k in range(3):
+        own = [r for r in rows if r.shard == k]
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        load[k] = sum(r.size for r in own)
+    for r in rows:
+        data = (("no id here" if r.doc_id is None else TEXTS[r.doc_id]) or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 1, zlib.crc32(data), "bytes", None)
+
+
+def test_shard_maps():
+    sizes = [(v, RNG.randint(1, 1000), 1) for v in range(sharding.SLOTS)]
+    first = sharding.plan(sizes, 8)
+    load = lambda m, n: [sum(s for v, s, _ in sizes if m[v] == k) for k in range(n)]
+    assert max(load(first, 8)) - min(load(first, 8)) <= 1000
+    grown = sharding.grow(first, sizes, 8)
+    assert {grown[v] for v in first if grown[v] != first[v]} == {8} and max(load(grown, 9)) / (sum(load(grown, 9)) / 9) < 1.01
+    changed = [(v, s * (5 if first[v] == 0 else 1), n) for v, s, n in sizes]
+    again = sharding.rebalance(first, changed, 8)
+    loads = [sum(s for v, s, _ in changed if again[v] == k) for k in range(8)]
+    assert max(loads) / (sum(loads) / 8) < 1.05 and sum(again[v] != first[v] for v in first) < len(first) / 2
+
+
+# 10
+
+
+def test_token_counts(docs):
+    pieces = tokencount.load_pieces(P.path(tokencount.VOCABULARY))
+    vocabulary = [("<unk>", 0.0)] + [(f"<0x{i:02X}>", 0.0) for i in range(256)] + pieces
+    exact = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=True))
+    exact.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    for r in tokencount.count_documents(docs).collect():
+        text = ("no id here" if r.doc_id is None else TEXTS[r.doc_id]) or ""
+        assert r.n_tokens == len(exact.encode(text).ids) and r.n_chars == len(text)
+
+
+def test_token_count_ties():
+    # two paths of one score: the last piece is the longest
+    own = tokencount.UnigramCounter([("▁", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁a", -2.0)])
+    u = Tokenizer(models.Unigram([("<unk>", 0.0), ("▁", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁a", -2.0)], unk_id=0))
+    u.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    for text in ("ab", "a b", "aab", "b ab", "abab"):
+        assert own.count(text) == len(u.encode(text).ids), text
+
+
+# the pipeline
+
+
+def test_pipeline_stages(spark, docs, empty):
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, DATA)
+        assert out.columns == docs.columns, name
+        assert stage(spark, empty, DATA).collect() == [], name
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, DATA).collect() == []
+
+
+def test_pipeline_runs(spark):
+    rows = corpus_pipeline.run(spark, DATA).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    ids = {r.doc_id for r in rows}
+    assert ids and ids <= set(texts)
+    # clean documents stay: what is kept by the measured rules, less near-duplicates
+    fine = {i: t for i, t in texts.items() if (m := _measured(t))[0] >= 50 and 2 * m[4] <= m[0] and 5 * m[2] <= m[0] and t.upper() != t and "!!" not in t}
+    groups = _components({i: _shingles(t, 5) for i, t in fine.items()}, 80)
+    assert {i for i, g in groups.items() if i == g} <= ids
