@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronofold.plans import queries_events, queries_functions, queries_graph, queries_records, queries_spatial, queries_write
+from chronofold.plans import queries_events, queries_functions, queries_graph, queries_joins, queries_records, queries_spatial, queries_write
 
 QUERIES, ORACLES = {}, {}
-for part in (queries_records, queries_events, queries_spatial, queries_functions, queries_graph, queries_write):
+for part in (queries_records, queries_events, queries_spatial, queries_functions, queries_graph, queries_joins, queries_write):
     QUERIES |= part.BOOK.queries
     ORACLES |= part.BOOK.oracles
