@@ -21,7 +21,8 @@ def ancestors(edges: DataFrame, most: int = 16) -> DataFrame:
     frontier, up = known, step.select(F.col("node").alias("via"), F.col("ancestor").alias("next"))
     for depth in range(2, most + 1):
         found = frontier.join(up, F.col("ancestor") == F.col("via")).where("node <> next").select("node", F.col("next").alias("ancestor")).distinct()
-        fresh = found.join(known, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth))
+        # kept for the test below and the next round; lost parts are computed again
+        fresh = found.join(known, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)).persist()
         if fresh.isEmpty():
             break
         known, frontier = known.unionByName(fresh), fresh
@@ -42,7 +43,7 @@ def descendants(edges: DataFrame, root: str, most: int = 16) -> DataFrame:
     """(node, depth) below a root."""
     frontier = known = edges.where(F.col("parent") == root).select(F.col("child").alias("node")).distinct().withColumn("depth", F.lit(1))
     for depth in range(2, most + 1):
-        fresh = edges.join(frontier.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node")).distinct().join(known, "node", "left_anti").withColumn("depth", F.lit(depth))
+        fresh = edges.join(frontier.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node")).distinct().join(known, "node", "left_anti").withColumn("depth", F.lit(depth)).persist()
         if fresh.isEmpty():
             break
         known, frontier = known.unionByName(fresh), fresh
@@ -138,13 +139,13 @@ def infer(facts: DataFrame, closure: DataFrame, rules: DataFrame, depth: int = 3
     its most confident chain (ties: least path).
     """
     up = closure.select(F.col("node").alias("concept"), F.col("ancestor").alias("antecedent")).unionByName(rules.select(F.col("antecedent").alias("concept"), "antecedent").distinct())
-    applicable = up.join(rules.withColumnRenamed("confidence", "strength"), "antecedent").select("concept", "relation", "consequent", "strength").distinct()
+    applicable = up.join(rules.withColumnRenamed("confidence", "strength"), "antecedent").select("concept", "relation", "consequent", "strength").distinct().persist()
     frontier = facts.select("subject", "concept", "confidence", F.array("concept").alias("path"))
     fired, out = frontier.select("subject", "concept"), None
     for step in range(1, depth + 1):
         made = frontier.join(applicable, "concept").select("subject", F.col("consequent").alias("concept"), "relation", (F.col("confidence") * F.col("strength")).alias("confidence"), F.concat("path", F.array("consequent")).alias("path"))
         best = made.groupBy("subject", "concept").agg(F.max_by(F.struct("relation", "confidence", "path"), F.struct(F.col("confidence"), -F.size("path"))).alias("b"))
-        fresh = best.join(fired, ["subject", "concept"], "left_anti").select("subject", "concept", "b.*").withColumn("depth", F.lit(step))
+        fresh = best.join(fired, ["subject", "concept"], "left_anti").select("subject", "concept", "b.*").withColumn("depth", F.lit(step)).persist()
         out = fresh if out is None else out.unionByName(fresh)
         frontier = fresh.select("subject", "concept", "confidence", "path")
         fired = fired.unionByName(fresh.select("subject", "concept"))

@@ -95,3 +95,56 @@ def fold_replay_digest(spark, d):
     one = snapshots.digest(ev.fold(cells), F.col("value"))
     two = snapshots.digest(ev.fold(cells.repartition(7)), F.col("value")).select(F.col("cells").alias("c2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
     return one.join(F.broadcast(two), F.col("cells") == F.col("c2"), "left").select("cells", F.coalesce((F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), F.lit(False)).alias("stable"))
+
+
+@q("""WITH p AS (SELECT event_id AS id, value AS x, (props->>'k')::DOUBLE AS y, event_id AS t FROM events), w AS (SELECT a.id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance, a.t - b.t AS dt FROM p a JOIN p b ON b.id = a.id - 3) SELECT id FROM w WHERE distance <= 20 * abs(dt)""")
+def entity_speed_veto(spark, d):
+    from chronofold.operators import entity
+
+    p = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"), F.col("event_id").alias("t"))
+    b = p.select((F.col("id") + 3).alias("id"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("t").alias("bt"))
+    pairs = p.join(b, "id").select("id", F.sqrt((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2).alias("distance"), (F.col("t") - F.col("bt")).alias("dt"))
+    return entity.veto(pairs, 20.0).select("id")
+
+
+@q("SELECT event_id, round(least(1.0, CASE WHEN user_id % 4 > 0 THEN ((event_id % 7 - 3)::DOUBLE / 3 * least(user_id % 4, 1) + 1) / 2 ELSE 0.5 END + least(0.15, 0.05 * (event_id % 5))), 8) AS score FROM events")
+def entity_match_score(spark, d):
+    from chronofold.operators import entity
+
+    weight = (F.col("user_id") % 4).cast("double")
+    agree = (F.col("event_id") % 7 - 3) / 3 * F.least(weight, F.lit(1.0)) * weight
+    return table(spark, d, "events").select("event_id", F.round(entity.match_score(agree, weight, F.col("event_id") % 5), 8).alias("score"))
+
+
+@q("""WITH a AS (SELECT user_id AS id, max(event_id) AS seen FROM events GROUP BY 1), r AS (SELECT id, row_number() OVER (ORDER BY seen DESC, id DESC) AS n FROM a WHERE id IN (SELECT o_orderkey FROM orders)) SELECT id FROM r WHERE n <= 30""")
+def block_lru_evict(spark, d):
+    from chronofold.operators import spatial
+    from chronofold.sources.bindings import blocks
+
+    at = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("at"))
+    return spatial.evict(blocks(spark, d), at, 30).select("id")
+
+
+@q("""WITH b AS (SELECT o_orderkey AS id, (o_custkey % 40)::DOUBLE * 2 AS x, (o_orderkey % 40)::DOUBLE * 2 AS y, (o_orderkey % 4)::DOUBLE AS z, CASE WHEN o_orderkey % 4 = 0 THEN 'ground' WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END AS payload FROM orders),
+    x AS (SELECT id, x AS min_x, x + 1 AS max_x, y AS min_y, y + 1 AS max_y, z AS min_z, z + 0.5 AS max_z, payload FROM b)
+    SELECT a.id, CASE WHEN payload = 'ground' THEN EXISTS (SELECT 1 FROM x u WHERE u.id <> a.id AND u.payload = '' AND u.min_x <= a.max_x AND a.min_x <= u.max_x AND u.min_y <= a.max_y AND a.min_y <= u.max_y AND u.min_z <= a.max_z + 0.5 AND a.max_z <= u.max_z)
+      ELSE NOT EXISTS (SELECT 1 FROM x u WHERE u.id <> a.id AND u.min_x <= a.max_x AND a.min_x <= u.max_x AND u.min_y <= a.max_y AND a.min_y <= u.max_y AND u.min_z <= a.min_z AND a.min_z - 0.5 <= u.max_z) END AS suspect FROM x a""")
+def block_suspects(spark, d):
+    from chronofold.operators import spatial
+
+    o = table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    x, y, z = (F.col("o_custkey") % 40).cast("double") * 2, (key % 40).cast("double") * 2, (key % 4).cast("double")
+    payload = F.when(key % 4 == 0, "ground").when(key % 5 == 0, "").otherwise(F.col("o_orderpriority"))
+    rows = o.select(key.alias("id"), x.alias("min_x"), (x + 1).alias("max_x"), y.alias("min_y"), (y + 1).alias("max_y"), z.alias("min_z"), (z + 0.5).alias("max_z"), payload.alias("payload"))
+    return spatial.suspects(rows, ["ground"], [""], 4.0)
+
+
+@q()
+def stateful_resolution(spark, d):
+    from chronofold.operators import entity
+    from chronofold.sources.bindings import observations
+    from chronofold.streaming import resolve, stateful
+
+    made = entity.profiles(observations(spark, d))
+    return stateful.run_batch(made, "anchor", ["bucket"], resolve.resolve_step({"returnflag": 3.0}), resolve.RESOLVED)

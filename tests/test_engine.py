@@ -200,3 +200,45 @@ def test_hash_embedding_is_unit_length():
     v = embedding.hash_embedding("状态 ok")
     assert abs(float((v**2).sum()) - 1) < 1e-5
     assert not embedding.hash_embedding("").any()
+
+
+def test_resolution_decides():
+    from chronofold.streaming.resolve import resolve_step
+
+    step, state, out = resolve_step({"plate": 3.0}), None, []
+    entry = lambda k, v, s: {"key": k, "value": v, "source": s}
+    for bucket, entries in enumerate((
+        [entry("plate", "A", 1)],
+        [entry("plate", "A", 1), entry("colour", "red", 1), entry("brand", "x", 1)],
+        [entry("plate", "A", 2), entry("colour", "red", 2), entry("brand", "x", 2)],
+        [entry("plate", "B", 1), entry("colour", "blue", 1), entry("brand", "y", 1)],
+        [entry("wheels", "4", 1), entry("doors", "5", 1), entry("size", "L", 1), entry("roof", "y", 1), entry("seats", "2", 1)],
+    )):
+        state, made = step(state, {"anchor": "gate", "bucket": bucket, "entries": entries})
+        out.append(made[0][2:4])
+    assert out == [("pool", None), ("new", "gate#1"), ("merge", "gate#1"), ("new", "gate#2"), ("disputed", "gate#1")]
+
+
+def test_snapshots_and_tools(spark, tmp_path):
+    import json
+
+    from chronofold.plans.registry import Registry, commands
+    from chronofold.sources import snapshots
+
+    writes = frame(spark, [(n, f"e{n % 2}", "k", float(n)) for n in range(1, 9)], "seq long, entity string, key string, value double")
+    for seq in (4, 8):
+        snapshots.save_snapshot(events.fold(writes, seq), str(tmp_path / "snap"), seq)
+    at = lambda upto: {r.entity: r.value for r in snapshots.latest_snapshot(spark, str(tmp_path / "snap"), upto).collect()}
+    assert at(7) == {"e0": 4.0, "e1": 3.0} and at(None) == {"e0": 8.0, "e1": 7.0} and at(3) == {}
+    blocks = frame(spark, [(1, 0.0, 2.0, 0.0, 2.0, 0.0, 2.0, 5, "oak", "Stable", 0.9, 0), (2, 50.0, 52.0, 0.0, 2.0, 0.0, 2.0, 95, "elm", "Pending", 0.5, 0)], "id long, min_x double, max_x double, min_y double, max_y double, min_z double, max_z double, t long, payload string, state string, confidence double, level int")
+    snapshots.save_shards(blocks, str(tmp_path / "blocks"), 10.0, 30)
+    assert [r.id for r in snapshots.read_shards(spark, str(tmp_path / "blocks"), 90, 99, 30).collect()] == [2]
+    tools = snapshots.tools(blocks, None, None)
+    asked = ['{"cmd":"schemas"}', '{"cmd":"call","name":"query","args":{"region":[0,0,0,9,9,9],"first":0,"last":99}}', '{"cmd":"vql","text":"FIND"}']
+    got = [json.loads(x) for x in commands(asked, tools, lambda t: vql.execute(t, blocks))]
+    assert got[0]["ok"] and [r["id"] for r in got[1]["result"]] == [1] and not got[2]["ok"]
+    registry = Registry()
+    pinned = registry.register("double", lambda x: x * 2, ["t"])
+    assert [r.o for r in registry.apply(blocks, "double", "o").orderBy("id").collect()] == [10, 190] and len(pinned) == 64
+    with pytest.raises(ValueError):
+        registry.register("double", lambda x: x * 3, ["t"], pinned)
