@@ -35,7 +35,7 @@ BL = """WITH b0 AS (SELECT o_orderkey AS id, (o_custkey % 100)::DOUBLE AS x, (o_
 bl AS (SELECT id, x - half AS min_x, y - half AS min_y, z - half AS min_z, x + half AS max_x, y + half AS max_y, z + half AS max_z, t, payload, state, confidence FROM b0)
 """
 VE = """WITH ve AS (SELECT o_custkey AS block_id, date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::BIGINT AS t, o_orderpriority AS payload, o_orderkey AS ord FROM orders),
-ver AS (SELECT block_id, row_number() OVER w AS version, payload, t AS valid_from, lead(t) OVER w AS valid_to FROM ve WINDOW w AS (PARTITION BY block_id ORDER BY t, ord))
+ver AS (SELECT block_id, (row_number() OVER w)::INTEGER AS version, payload, t AS valid_from, lead(t) OVER w AS valid_to FROM ve WINDOW w AS (PARTITION BY block_id ORDER BY t, ord))
 """
 OB = """WITH o0 AS (SELECT 's' || l_suppkey AS anchor, date_diff('day', DATE '1995-01-01', l_shipdate::DATE)::BIGINT AS ts, l_partkey % 5 AS source, 0.5::DOUBLE + l_discount AS confidence, l_returnflag, l_linestatus FROM lineitem),
 ob AS (SELECT anchor, ts, source, confidence, ts // 30 AS bucket, 'returnflag' AS key, l_returnflag AS value FROM o0

@@ -103,7 +103,7 @@ def slice_anchor_as_of(spark, d):
     return ev.anchor_as_of(plain_log(spark, d), 400)
 
 
-@q(EV + "SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY seq) AS n, seq, anchor FROM ev")
+@q(EV + "SELECT entity, (row_number() OVER (PARTITION BY entity ORDER BY seq))::INTEGER AS n, seq, anchor FROM ev")
 def slice_trajectory(spark, d):
     return ev.trajectory(plain_log(spark, d))
 

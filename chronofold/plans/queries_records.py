@@ -125,7 +125,7 @@ def set_except(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
-@q("SELECT conv_id, turn, role, length(text) AS chars FROM conversations WHERE role = 'user' AND turn >= 2")
+@q("SELECT conv_id, turn, role, length(text)::INTEGER AS chars FROM conversations WHERE role = 'user' AND turn >= 2")
 def children_in_order(spark, d):
     return r.query(table(spark, d, "conversations"), [C("role", "eq", "user"), C("turn", "ge", 2)]).select("conv_id", "turn", "role", F.length("text").alias("chars"))
 
