@@ -50,11 +50,11 @@ def fold_keys_of_entities(spark, d):
     late AS (SELECT d.owner AS entity, c.key, c.value, c.seq, c.seq AS applied FROM cells c JOIN decl d ON c.entity = d.source AND c.key = d.key AND c.seq > d.seq),
     back AS (SELECT d.owner AS entity, c.key, arg_max(c.value, c.seq) AS value, max(c.seq) AS seq, max(d.seq) AS applied FROM cells c JOIN decl d ON c.entity = d.source AND c.key = d.key AND c.seq <= d.seq GROUP BY 1, 2),
     al AS (SELECT entity, key, value, seq, seq AS applied FROM cells UNION ALL SELECT * FROM late UNION ALL SELECT * FROM back)
-    SELECT entity, key, arg_max(value, (applied, seq)) AS value, arg_max(seq, (applied, seq)) AS source_event FROM al WHERE entity LIKE 'line%' GROUP BY 1, 2""")
+    SELECT entity, key, arg_max(value, (applied, seq)) AS value, arg_max(seq, (applied, seq)) AS source_event FROM al GROUP BY 1, 2""")
 def fold_owner_inherits(spark, d):
     g = spark.range(5)
     decl = g.select(F.lit(9000).cast("bigint").alias("seq"), F.concat(F.lit("line"), F.col("id").cast("string")).alias("owner"), F.lit("k").alias("key"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("source"))
-    return ev.fold_applied(ev.inherit(ev.cells(plain_log(spark, d)), decl).where(F.col("entity").startswith("line")))
+    return ev.fold_applied(ev.inherit(ev.cells(plain_log(spark, d)), decl))
 
 
 @q(EV + "SELECT seq, entity, row_number() OVER (PARTITION BY entity ORDER BY seq) AS faults FROM ev WHERE type = 'error'")

@@ -86,10 +86,10 @@ def vector_compose(spark, d):
     return a.join(b, "vec_id").select("vec_id", total(s.plus(F.col("a"), F.col("b"))).alias("plus"), total(s.minus(F.col("a"), F.col("b"))).alias("minus"))
 
 
-@q("SELECT event_id, round(10 * cos(2 * pi() * ((0.25 + event_id::DOUBLE / 365) - floor(0.25 + event_id::DOUBLE / 365))), 6) + 0.0 AS x, round(10 * sin(2 * pi() * ((0.25 + event_id::DOUBLE / 365) - floor(0.25 + event_id::DOUBLE / 365))), 6) + 0.0 AS y FROM events WHERE event_id < 700")
+@q("SELECT event_id, round(10 * cos(2 * pi() * ((0.25 + event_id::DOUBLE / 365) - floor(0.25 + event_id::DOUBLE / 365))), 6) + 0.0 AS x, round(10 * sin(2 * pi() * ((0.25 + event_id::DOUBLE / 365) - floor(0.25 + event_id::DOUBLE / 365))), 6) + 0.0 AS y FROM events")
 def fn_orbit(spark, d):
     at = s.orbit(F.col("event_id"), 10.0, 365.0, 0.25)
-    return table(spark, d, "events").where("event_id < 700").select("event_id", *[(F.round(F.get(at, F.lit(i)), 6) + 0.0).alias(n) for i, n in enumerate("xy")])
+    return table(spark, d, "events").select("event_id", *[(F.round(F.get(at, F.lit(i)), 6) + 0.0).alias(n) for i, n in enumerate("xy")])
 
 
 @q("SELECT event_id, round(0.0 - value, 6) + 0.0 AS x, round((props->>'k')::DOUBLE, 6) + 0.0 AS z FROM events")

@@ -108,11 +108,11 @@ def graph_neighbours(spark, d):
     return graph.neighbours(supplier_edges(spark, d))
 
 
-@q(CS + """, big AS (SELECT * FROM cs WHERE weight >= 2), l AS (SELECT src, dst FROM big UNION SELECT dst, src FROM big), r0 AS (SELECT 's1' AS node, 0 AS depth), r1 AS (SELECT DISTINCT l.dst AS node FROM l JOIN r0 ON l.src = r0.node WHERE l.dst <> 's1'),
+@q(CS + """, big AS (SELECT * FROM cs), l AS (SELECT src, dst FROM big UNION SELECT dst, src FROM big), r0 AS (SELECT 's1' AS node, 0 AS depth), r1 AS (SELECT DISTINCT l.dst AS node FROM l JOIN r0 ON l.src = r0.node WHERE l.dst <> 's1'),
     r2 AS (SELECT DISTINCT l.dst AS node FROM l JOIN r1 ON l.src = r1.node WHERE l.dst <> 's1' AND l.dst NOT IN (SELECT node FROM r1)),
     al AS (SELECT node FROM r0 UNION SELECT node FROM r1 UNION SELECT node FROM r2) SELECT DISTINCT src, dst, type FROM big WHERE src IN (SELECT node FROM al) AND dst IN (SELECT node FROM al)""")
 def graph_traversal(spark, d):
-    return views.traversal(supplier_edges(spark, d).where("weight >= 2"), "s1", 2)
+    return views.traversal(supplier_edges(spark, d), "s1", 2)
 
 
 @q(CS + ", e AS (SELECT src, dst, type, weight FROM cs UNION ALL SELECT src, dst, type, weight * 2 FROM cs WHERE weight > 1) SELECT src, dst, type, max(weight) AS weight FROM e GROUP BY 1, 2, 3")

@@ -30,18 +30,18 @@ def lookup_longest_prefix(spark, d):
     return joins.longest_prefix(plain_log(spark, d).select(F.col("seq").alias("id"), F.col("anchor").alias("path")), roots)
 
 
-@q("WITH s AS (SELECT event_id AS seq FROM events WHERE event_id % 97 = 13) SELECT event_id AS id, event_id AS seq, (SELECT max(s.seq) FROM s WHERE s.seq <= event_id) AS snapshot FROM events")
+@q("WITH s AS (SELECT DISTINCT o_custkey * 7 + 5 AS seq FROM orders) SELECT event_id AS id, event_id AS seq, (SELECT max(s.seq) FROM s WHERE s.seq <= event_id) AS snapshot FROM events")
 def lookup_floor(spark, d):
     e = table(spark, d, "events")
-    return joins.floor_lookup(e.select(F.col("event_id").alias("id"), F.col("event_id").alias("seq")), e.where("event_id % 97 = 13").select(F.col("event_id").alias("seq")))
+    return joins.floor_lookup(e.select(F.col("event_id").alias("id"), F.col("event_id").alias("seq")), table(spark, d, "orders").select((F.col("o_custkey") * 7 + 5).alias("seq")).distinct())
 
 
-@q("""WITH l AS (SELECT user_id AS src, event_id % 150 AS dst, CASE event_type WHEN 'click' THEN 'causes' WHEN 'view' THEN 'before' ELSE 'other' END AS type, value FROM events), k AS (SELECT DISTINCT user_id AS node FROM events WHERE user_id % 4 <> 0)
+@q("""WITH l AS (SELECT user_id AS src, event_id % 150 AS dst, CASE event_type WHEN 'click' THEN 'causes' WHEN 'view' THEN 'before' ELSE 'other' END AS type, value FROM events), k AS (SELECT s_suppkey AS node FROM supplier)
     SELECT src, dst, type, round(sum(value), 4) AS weight FROM l WHERE type IN ('causes', 'before') AND src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k) GROUP BY 1, 2, 3""")
 def lookup_synchronised_links(spark, d):
     e = table(spark, d, "events")
     links = e.select(F.col("user_id").alias("src"), (F.col("event_id") % 150).alias("dst"), F.when(F.col("event_type") == "click", "causes").when(F.col("event_type") == "view", "before").otherwise("other").alias("type"), F.col("value").alias("weight"))
-    return joins.synchronised_links(links, e.where("user_id % 4 <> 0").select(F.col("user_id").alias("node"))).withColumn("weight", F.round("weight", 4))
+    return joins.synchronised_links(links, table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))).withColumn("weight", F.round("weight", 4))
 
 
 @q("WITH " + ISA + "SELECT a.child AS node, a.parent AS class FROM isa a JOIN isa b ON b.child = a.parent UNION ALL SELECT child, child FROM isa WHERE parent LIKE 'r%'")

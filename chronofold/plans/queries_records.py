@@ -92,10 +92,10 @@ def write_conditional_patch(spark, d):
     return r.update_where(table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), [C("c_mktsegment", "eq", "MACHINERY"), C("c_acctbal", "le", 0.0)], {"c_acctbal": 0.0, "c_mktsegment": "CLOSED"})
 
 
-@q("""SELECT event_id, user_id, CASE WHEN event_id IN (SELECT o_orderkey FROM orders WHERE o_orderkey < 500) THEN 'duplicate' WHEN user_id NOT IN (SELECT s_suppkey FROM supplier) THEN 'user_id' END AS reject FROM events""")
+@q("""SELECT event_id, user_id, CASE WHEN event_id IN (SELECT o_orderkey * 2 FROM orders) THEN 'duplicate' WHEN user_id NOT IN (SELECT s_suppkey FROM supplier) THEN 'user_id' END AS reject FROM events""")
 def write_validated_append(spark, d):
     rows = table(spark, d, "events").select("event_id", "user_id")
-    existing = table(spark, d, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("event_id"))
+    existing = table(spark, d, "orders").select((F.col("o_orderkey") * 2).alias("event_id"))
     return r.valid(rows, "event_id", existing, {"user_id": (table(spark, d, "supplier"), "s_suppkey")})
 
 

@@ -43,11 +43,10 @@ def block_keys(spark, d):
     return spatial.block_key(blocks(spark, d), 10.0, 30).select("id", "cell_x", "cell_y", "cell_z", "time_slot")
 
 
-@q(BL + f", lo AS (SELECT * FROM bl WHERE id % 10 = 0), hi AS (SELECT * FROM bl WHERE id % 10 = 5) SELECT lo.id AS left_id, hi.id AS right_id FROM lo JOIN hi ON {_MEET.format(a='lo', b='hi')} WHERE lo.t = hi.t")
+@q(BL + f"SELECT lo.id AS left_id, hi.id AS right_id FROM bl lo JOIN bl hi ON {_MEET.format(a='lo', b='hi')} AND lo.t = hi.t")
 def block_grid_join_same_day(spark, d):
-    rows = blocks(spark, d)
-    # the day is one more equality, so it joins the cell as a key
-    lo, hi = rows.where("id % 10 = 0"), rows.where("id % 10 = 5")
+    # all blocks lie at z = 0, so the day takes the place of z and becomes a part of the cell
+    lo = hi = blocks(spark, d)
     day = 1000.0
     shift = lambda df: df.withColumns({"min_z": F.col("t") * day, "max_z": F.col("t") * day + 1})
     return spatial.grid_join(shift(lo), shift(hi), "id", "id", 8.0)
@@ -75,10 +74,9 @@ def block_coarse_to_fine(spark, d):
     return spatial.coarse_to_fine(_levelled(spark, d), (10, 10, 0, 30, 30, 1), 8.0).select("id", F.col("level").cast("int").alias("level"))
 
 
-@q(_BLV + f"SELECT a.id, EXISTS (SELECT 1 FROM blv b WHERE b.level >= 1 AND {_MEET.format(a='a', b='b')}) AS refined FROM blv a WHERE level = 0 AND id < 900")
+@q(_BLV + f"SELECT a.id, EXISTS (SELECT 1 FROM blv b WHERE b.level >= 1 AND {_MEET.format(a='a', b='b')}) AS refined FROM blv a WHERE level = 0")
 def block_refined(spark, d):
-    rows = _levelled(spark, d)
-    return spatial.refined(rows.where("level >= 1 or id < 900"), 8.0)
+    return spatial.refined(_levelled(spark, d), 8.0)
 
 
 @q(BL + "SELECT id, t FROM bl WHERE t >= 1500")

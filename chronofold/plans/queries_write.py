@@ -74,13 +74,13 @@ def lexicon_normalise(spark, d):
     return lexicon.normalise(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", alias).select("c_custkey", "standard")
 
 
-@q("""WITH m AS (SELECT 'u' || user_id AS word, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1), l AS (SELECT DISTINCT 'u' || user_id AS word FROM events WHERE user_id % 3 <> 2)
+@q("""WITH m AS (SELECT 'u' || user_id AS word, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1), l AS (SELECT DISTINCT 'u' || user_id AS word FROM events WHERE event_type = 'error' AND value > 50)
     SELECT m.word, n, n >= 3 AND l.word IS NOT NULL AS awake FROM m LEFT JOIN l ON m.word = l.word""")
 def lexicon_awake(spark, d):
     ev = table(spark, d, "events")
     word = F.concat(F.lit("u"), F.col("user_id").cast("string"))
     mentions = ev.where("event_type = 'click'").select(word.alias("word"))
-    edges = ev.where("user_id % 3 = 0").select(word.alias("src"), word.alias("dst")).union(ev.where("user_id % 3 = 1").select(word, word))
+    edges = ev.where("event_type = 'error' and value > 50").select(word.alias("src"), word.alias("dst"))
     return lexicon.awake(mentions, edges)
 
 
@@ -91,18 +91,18 @@ def lexicon_edges(spark, d):
     return lexicon.lexicon_edges(words.withColumn("score", F.lit(0.5)), words.limit(0), concept).select("src", "type", "dst", "weight")
 
 
-@q("SELECT 'u' || user_id AS entity, min(event_id) AS seq FROM events WHERE user_id >= 40 GROUP BY 1")
+@q("SELECT 'u' || user_id AS entity, min(event_id) AS seq FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier) GROUP BY 1")
 def entity_new(spark, d):
     seen = table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("entity"), F.col("event_id").alias("seq"))
-    known = spark.range(40).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("entity"))
+    known = table(spark, d, "supplier").select(F.concat(F.lit("u"), F.col("s_suppkey").cast("string")).alias("entity"))
     return lexicon.new_entities(seen, known)
 
 
-@q("""WITH p AS (SELECT event_id AS id, value AS x, (props->>'k')::DOUBLE AS y FROM events), c AS (SELECT * FROM p WHERE id % 400 = 0)
+@q("""WITH p AS (SELECT event_id AS id, value AS x, (props->>'k')::DOUBLE AS y FROM events), c AS (SELECT n_nationkey::BIGINT AS id, n_nationkey * 5::DOUBLE AS x, n_regionkey * 20::DOUBLE AS y FROM nation)
     SELECT c.id AS centre, p.id, round(sqrt((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y)), 7) AS distance FROM c JOIN p ON (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) <= 64""")
 def frames_radius_search(spark, d):
     p = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"), F.lit(0.0).alias("z"))
-    c = p.where("id % 400 = 0").withColumn("radius", F.lit(8.0))
+    c = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), (F.col("n_nationkey") * 5.0).alias("x"), (F.col("n_regionkey") * 20.0).alias("y"), F.lit(0.0).alias("z"), F.lit(8.0).alias("radius"))
     return frames.within(p, c, "radius", 8.0).withColumn("distance", F.round("distance", 7))
 
 
