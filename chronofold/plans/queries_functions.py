@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronofold.functions import coordinates
 from chronofold.functions import scalars as s
 from chronofold.operators import entity
 from chronofold.plans.book import Book
@@ -141,3 +142,21 @@ def fn_longest_dictionary_hit(spark, d):
     words = ["red", "ring", "widget", "small", "blue", "in"]
     rows = table(spark, d, "part").select("p_partkey", F.explode(F.array_distinct(s.substrings(F.col("p_name")))).alias("piece")).where(F.col("piece").isin(words))
     return rows.groupBy("p_partkey").agg(F.min_by("piece", F.struct(-F.length("piece"), F.col("piece"))).alias("word"))
+
+
+@q(f"SELECT o_orderkey, round(6371000 * cos(radians(lat)) * cos(radians(lng)), 1) + 0.0 AS x, round(6371000 * cos(radians(lat)) * sin(radians(lng)), 1) + 0.0 AS y, round(6371000 * sin(radians(lat)), 1) + 0.0 AS z FROM ({_LL})")
+def coordinates_sphere_chart(spark, d):
+    at = coordinates.sphere_chart(F.col("lat"), F.col("lng"), F.lit(0.0), 6371000.0)
+    return _places(spark, d).select("o_orderkey", *[(F.round(F.get(at, F.lit(i)), 1) + 0.0).alias(n) for i, n in enumerate("xyz")])
+
+
+@q(f"SELECT o_orderkey, lat, lng, 0.0::DOUBLE AS height FROM ({_LL})")
+def coordinates_sphere_round_trip(spark, d):
+    back = coordinates.sphere_from_chart(coordinates.sphere_chart(F.col("lat"), F.col("lng"), F.lit(0.0), 1000.0), 1000.0)
+    return _places(spark, d).select("o_orderkey", *[(F.round(F.get(back, F.lit(i)), 6) + 0.0).alias(n) for i, n in enumerate(("lat", "lng", "height"))])
+
+
+@q("SELECT event_id, least((value * 3 - 40) - floor((value * 3 - 40) / 360) * 360, 360 - ((value * 3 - 40) - floor((value * 3 - 40) / 360) * 360)) IS NOT NULL AS placed, round(least(abs(value - 40) - floor(abs(value - 40) / 100) * 100, 100 - (abs(value - 40) - floor(abs(value - 40) / 100) * 100)), 6) AS distance FROM events")
+def coordinates_closed_track(spark, d):
+    v = F.col("value")
+    return table(spark, d, "events").select("event_id", v.isNotNull().alias("placed"), F.round(coordinates.track_distance(v, F.lit(40.0), 100.0), 6).alias("distance"))

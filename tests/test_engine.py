@@ -242,3 +242,24 @@ def test_snapshots_and_tools(spark, tmp_path):
     assert [r.o for r in registry.apply(blocks, "double", "o").orderBy("id").collect()] == [10, 190] and len(pinned) == 64
     with pytest.raises(ValueError):
         registry.register("double", lambda x: x * 3, ["t"], pinned)
+
+
+def test_sphere_cells_miss_nothing(spark):
+    from chronofold.functions import coordinates
+
+    rng = random.Random(8)
+    places = [(i, math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180)) for i in range(300)]
+    df = frame(spark, places, "id int, lat double, lng double")
+    cell = F.struct(F.floor(F.col("lat") / 10).alias("i"), F.pmod(F.floor((F.col("lng") + 180) / 10), F.lit(36)).alias("j"))
+    near = coordinates.sphere_cells(F.col("lat"), F.col("lng"), F.lit(1200.0), 6371.0, 10.0)
+    b = df.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), cell.alias("cell"))
+    pairs = df.withColumn("cell", F.explode(near)).join(b, "cell").where(coordinates.sphere_distance(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2"), 6371.0) <= 1200)
+    got = sorted((r.id, r.b) for r in pairs.collect())
+
+    def away(p, q):
+        v = [(math.cos(math.radians(a)) * math.cos(math.radians(g)), math.cos(math.radians(a)) * math.sin(math.radians(g)), math.sin(math.radians(a))) for _, a, g in (p, q)]
+        return 2 * 6371 * math.asin(min(1, math.dist(*v) / 2))
+
+    assert got == sorted((p[0], q[0]) for p in places for q in places if away(p, q) <= 1200)
+    moving = spark.range(1).select(coordinates.chart_velocity(lambda s: F.array(F.cos(s), F.sin(s)), [F.lit(0.0)], [F.lit(2.0)]).alias("v")).first()["v"]
+    assert moving == pytest.approx([0.0, 2.0], abs=1e-4)
