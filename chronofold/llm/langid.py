@@ -178,8 +178,12 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     small_batches(labelled.sparkSession)
     chosen = rows.where(order <= edge).select(order.alias("h"), F.col("lang"), F.col("text"))
     got = chosen.mapInArrow(bags, "h long, lang string, found array<int>, counts array<int>").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")]).slice(0, sample_rows)
-    column = [got.column(c).to_pylist() for c in ("lang", "found", "counts")]
-    return train([(np.array(f, np.int64), np.array(c, np.float64)) for f, c in zip(*column[1:], strict=True)], column[0])
+    return train(list(zip(_lists(got, "found", np.int32), _lists(got, "counts", np.float32), strict=True)), got.column("lang").to_pylist())
+
+
+def _lists(rows: pa.Table, name: str, kind: type) -> list[np.ndarray]:
+    """A column of lists as arrays, without making a Python object of each element."""
+    return [chunk.values.to_numpy()[a:b].astype(kind) for chunk in rows.column(name).chunks for a, b in zip(chunk.offsets.to_numpy()[:-1], chunk.offsets.to_numpy()[1:], strict=True)]
 
 
 def predictor(spark, model: LanguageModel) -> Callable:
