@@ -159,14 +159,14 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Trains on at most `sample_rows` rows (doc_id, text, lang) with a text and a label.
 
-    The sample is the rows whose hashed ids come first, spread evenly over the
-    table whatever its order.  Executors turn each whole sampled text into
+    The sample is the distinct rows whose hashes come first, spread evenly over
+    the table whatever its order.  Executors turn each whole sampled text into
     bucket counts, at most BUCKETS of them; only those reach the driver.
     """
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    # the ids alone are ranked; the whole texts of the chosen rows are then read again
-    order = F.xxhash64(F.col("doc_id").cast("string"))
-    edge = rows.select(order.alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    # hashes alone are ranked; the whole texts of the chosen rows are then read again
+    order = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    edge = rows.select(order.alias("h")).distinct().orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
     if edge is None:
         return train([], [])
 
@@ -176,8 +176,9 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f.astype(np.int32) for f, _ in found], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32()))], names=["h", "lang", "found", "counts"])
 
     small_batches(labelled.sparkSession)
-    chosen = rows.where(order <= edge).select(order.alias("h"), F.col("lang"), F.col("text"))
-    got = chosen.mapInArrow(bags, "h long, lang string, found array<int>, counts array<int>").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")]).slice(0, sample_rows)
+    # a row that is repeated counts once, so no more than sample_rows remain
+    chosen = rows.where(order <= edge).groupBy(order.alias("h")).agg(F.min(F.struct("lang", "text")).alias("r")).select("h", "r.lang", "r.text")
+    got = chosen.mapInArrow(bags, "h long, lang string, found array<int>, counts array<int>").toArrow().sort_by([("h", "ascending")])
     return train(list(zip(_lists(got, "found", np.int32), _lists(got, "counts", np.float32), strict=True)), got.column("lang").to_pylist())
 
 
