@@ -31,7 +31,7 @@ from chronofold.llm.common import save, small_batches, text_of
 VOCABULARY = "word_bpe_49k.json"
 SEQUENCE = 4096
 END = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 CACHED_LENGTH = 64
 #: Pieces that one task packs.
 GROUP = 50_000
