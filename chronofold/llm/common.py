@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -38,7 +40,9 @@ def scratch(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="chronofold-")
+    folder = tempfile.mkdtemp(prefix="chronofold-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    made = "file://" + folder
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 
