@@ -242,7 +242,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, columns and all, of one document (the least doc_id) per component; repeated rows stay once."""
-    kept = near_duplicates(docs, size, percent).where("kept").select(F.col("doc_id").alias(key := free_name(docs, "kept_doc_id"))).distinct()
-    chosen = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept[key]), "left_semi")
-    return chosen.dropDuplicates(["doc_id"])
+    """The rows of docs, columns and all, of one document per component, that of the least doc_id.
+
+    A document is here a doc_id with a text: one id with several texts is as many
+    documents, each linked by its own text (of one component's documents with the
+    same id, one stays), and rows that repeat both stay once.  Every row without
+    doc_id stays.  Id and text are told apart by a 64-bit hash of both.
+    """
+    number = free_name(docs, "document")
+    own = docs["doc_id"].cast("long")
+    numbered = docs.where(own.isNotNull()).withColumn(number, F.xxhash64(own, docs["text"]))
+    near = near_duplicates(numbered.select(F.col(number).alias("doc_id"), "text"), size, percent)
+    components = near.select(F.col("doc_id").alias(number), "component_id").distinct()
+    ids = numbered.select(number, F.col("doc_id").cast("long").alias("id")).distinct()
+    least = components.join(ids, number).groupBy("component_id").agg(F.min_by(number, F.struct("id", number)).alias(number)).select(number)
+    return numbered.join(least, number, "left_semi").dropDuplicates([number]).drop(number).unionByName(docs.where(own.isNull()))

@@ -365,6 +365,15 @@ def test_one_of_each_stays(docs):
     assert ids.count(3) == 1 and 5 not in ids and 9 not in ids and 10 not in ids and {0, 1, 2, 8, None} <= set(ids)
 
 
+def test_rows_of_a_shared_id_stay(spark):
+    rng = random.Random(3)
+    x, y, z, u, v = (" ".join(f"w{rng.randint(0, 9999)}" for _ in range(100)) for _ in range(5))
+    # without an id: other texts, and one of them twice; id 7: a near copy of 3, a copy of 3, and two texts of its own, one twice
+    rows = [(None, x), (None, y), (None, y), (None, z), (3, u), (7, u + " tail"), (7, u), (7, v), (7, v), (7, z), (8, v + " tail")]
+    kept = minhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert collections.Counter(map(tuple, kept)) == {(None, x): 1, (None, y): 2, (None, z): 1, (3, u): 1, (7, v): 1, (7, z): 1}
+
+
 # 9
 
 
