@@ -1,6 +1,6 @@
 """Secret scanning with false positives removed by a random forest, in DataFrame expressions only.
 
-Candidates are runs of 16 or more key characters with at least one digit.
+Candidates are runs of 16 or more key characters, with or without digits.
 Features are the candidate's length, its character classes and transitions, how
 much of it a dictionary covers, whether it looks like a path, and the words
 beside it.  The forest is trained on labelled findings (before, candidate,
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from chronofold.llm.spans import found, let
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]*+[0-9])[A-Za-z0-9+/_=.-]{16,}+"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}+"
 BEFORE, AFTER = 40, 16
 #: Findings that training reads at most.
 FINDINGS = 4000
@@ -68,23 +68,24 @@ def default_findings(count: int = FINDINGS, seed: int = 7) -> list[dict]:
     pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
     hexes, upper_hex = "0123456789abcdef", "0123456789ABCDEF"
     base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    letters = base62[:52]
     words, names, harmless = DICTIONARY.split("|"), SECRET_WORDS.split("|"), HARMLESS_WORDS.split("|")
     text = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))
     out = []
     while len(out) < count:
         secret = rng.random() < 0.5
         if secret:
-            shape = rng.randrange(6)
-            key = [pick(hexes, rng.choice((32, 40, 64))), pick(upper_hex, rng.choice((32, 40))), pick(base62, rng.randint(20, 48)), "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), rng.choice(("ghp_", "sk-", "xoxb-", "glpat-")) + pick(base62, rng.randint(20, 40)), pick(base62 + "+/", rng.choice((40, 64))) + rng.choice(("", "=", "=="))][shape]
+            shape = rng.randrange(7)
+            key = [pick(hexes, rng.choice((32, 40, 64))), pick(upper_hex, rng.choice((32, 40))), pick(base62, rng.randint(20, 48)), "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), rng.choice(("ghp_", "sk-", "xoxb-", "glpat-")) + pick(base62, rng.randint(20, 40)), pick(base62 + "+/", rng.choice((40, 64))) + rng.choice(("", "=", "==")), rng.choice(("AKIA", "", "ghp_", "sk-")) + pick(rng.choice((letters, letters.lower(), letters.upper())), rng.randint(16, 40))][shape]
             name = rng.choice(names)
             name = rng.choice((name, name.upper(), rng.choice(words) + "_" + name))
             form = rng.randrange(5)
             before, after = [(f'{text()} {name} = "', f'" {text()}'), (f"{text()} {name}='", "'"), (f"{name}: ", f"\n{text()}"), (f"{text()} {name}=", f" {text()}"), (f'"{name}": "', '",')][form]
-            if shape in (3, 4) and rng.random() < 0.3:
+            if (shape in (3, 4) or key[:4] in ("AKIA", "ghp_")) and rng.random() < 0.3:
                 before, after = f"{text()} ", f" {text()}"
         else:
-            shape = rng.randrange(9)
-            number = str(rng.randint(0, 9999))
+            shape = rng.randrange(11)
+            number = rng.choice((str(rng.randint(0, 9999)), ""))
             key = [
                 "_".join(rng.choice(words) for _ in range(rng.randint(3, 6))) + number,
                 "/".join(rng.choice(words) for _ in range(rng.randint(3, 6))) + number + rng.choice((".txt", ".py", "", ".png")),
@@ -95,13 +96,16 @@ def default_findings(count: int = FINDINGS, seed: int = 7) -> list[dict]:
                 ".".join(str(rng.randint(0, 99)) for _ in range(7)) + "-" + rng.choice(words),
                 ".".join(rng.choice(words) for _ in range(4)) + "." + number,
                 "-".join(rng.choice(words) for _ in range(rng.randint(3, 5))) + "-" + number,
+                # a long word of prose, and a line of signs
+                "".join(pick("bcdfghklmnprstvz", rng.randint(1, 2)) + pick("aeiou", 1) for _ in range(rng.randint(6, 12))),
+                rng.choice("-_./+") * rng.randint(16, 60),
             ][shape]
             name = rng.choice(harmless)
             if shape in (2, 3):
                 before, after = rng.choice(((f"{text()} {name} ", f" {text()}"), (f"{name}: ", f" {text()}"), (f'{name} = "', '"'), (f"{name}/", " ")))
             else:
                 before, after = rng.choice(((f"{text()} ", f" {text()}"), (f'{rng.choice(words)} = "', '"'), (f"{text()}\n", f", {text()}"), (f"{rng.choice(names)} in ", f" {text()}")))
-        if len(key) >= 16 and any(c.isdigit() for c in key):
+        if len(key) >= 16:
             out.append({"before": before[-BEFORE:], "candidate": key, "after": after[:AFTER], "secret": int(secret)})
     return out
 
@@ -185,9 +189,7 @@ def compiled(forest: list, values: Column) -> Column:
 def scanned(docs: DataFrame, forest: list, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """row (struct of all columns), t, n_candidates and secrets: array<struct<start,end,value,score>>."""
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(docs[text], F.lit("")).alias("t"))
-    kind = "array<struct<start:bigint,end:bigint,value:string>>"
-    # texts without a digit have no candidate
-    rows = rows.select("row", "t", F.when(F.regexp("t", F.lit("[0-9]")), found(F.col("t"), CANDIDATE)).otherwise(F.array().cast(kind)).alias("c"))
+    rows = rows.select("row", "t", found(F.col("t"), CANDIDATE).alias("c"))
 
     def scored(s: Column) -> Column:
         begin = F.greatest(s["start"] - BEFORE, F.lit(0))
