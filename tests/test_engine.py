@@ -263,3 +263,17 @@ def test_sphere_cells_miss_nothing(spark):
     assert got == sorted((p[0], q[0]) for p in places for q in places if away(p, q) <= 1200)
     moving = spark.range(1).select(coordinates.chart_velocity(lambda s: F.array(F.cos(s), F.sin(s)), [F.lit(0.0)], [F.lit(2.0)]).alias("v")).first()["v"]
     assert moving == pytest.approx([0.0, 2.0], abs=1e-4)
+
+
+def test_traversal_view_takes_three_steps(spark):
+    from chronofold.plans import catalog
+    from chronofold.sources.bindings import supplier_edges
+
+    data = "/root/testdata/sf0.001"
+    edges = {(r.src, r.dst, r.type) for r in supplier_edges(spark, data).collect()}
+    near = {"s1"}
+    for _ in range(3):
+        near |= {b for x, y, _ in edges for a, b in ((x, y), (y, x)) if a in near}
+    got = [tuple(r) for r in catalog.QUERIES["graph_traversal_view"](spark, data).select("src", "dst", "type").collect()]
+    assert len(got) == len(set(got)) and set(got) == {e for e in edges if e[0] in near and e[1] in near}
+    assert set(got) > {tuple(r) for r in catalog.QUERIES["graph_traversal"](spark, data).select("src", "dst", "type").collect()}
