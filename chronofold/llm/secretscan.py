@@ -1,6 +1,9 @@
 """Secret scanning with false positives removed by a random forest, in DataFrame expressions only.
 
-Candidates are runs of 16 or more key characters, with or without digits.
+Candidates are runs of 16 or more key characters, with or without digits.  An
+equals sign ends a run, so the name of an assignment is not part of it; one or
+two that nothing of a key follows are padding (before a quote, only if a quote
+opens the run).
 Features are the candidate's length, its character classes and transitions, how
 much of it a dictionary covers, whether it looks like a path, and the words
 beside it.  The forest is trained on labelled findings (before, candidate,
@@ -17,13 +20,15 @@ from __future__ import annotations
 
 import json
 import random
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm.spans import found, let
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}+"
+_KEY = "A-Za-z0-9+/_.-"
+CANDIDATE = rf"(?<=[\x22'`])[{_KEY}]{{16,}}+(?:={{1,2}}(?![{_KEY}=]))?|(?<![{_KEY}])[{_KEY}]{{16,}}+(?:={{1,2}}(?![{_KEY}=\x22'`]))?"
 BEFORE, AFTER = 40, 16
 #: Findings that training reads at most.
 FINDINGS = 4000
@@ -84,7 +89,7 @@ def default_findings(count: int = FINDINGS, seed: int = 7) -> list[dict]:
             if (shape in (3, 4) or key[:4] in ("AKIA", "ghp_")) and rng.random() < 0.3:
                 before, after = f"{text()} ", f" {text()}"
         else:
-            shape = rng.randrange(11)
+            shape = rng.randrange(12)
             number = rng.choice((str(rng.randint(0, 9999)), ""))
             key = [
                 "_".join(rng.choice(words) for _ in range(rng.randint(3, 6))) + number,
@@ -99,15 +104,18 @@ def default_findings(count: int = FINDINGS, seed: int = 7) -> list[dict]:
                 # a long word of prose, and a line of signs
                 "".join(pick("bcdfghklmnprstvz", rng.randint(1, 2)) + pick("aeiou", 1) for _ in range(rng.randint(6, 12))),
                 rng.choice("-_./+") * rng.randint(16, 60),
+                rng.choice((str.upper, str.lower))("_".join(rng.choice(words + names) for _ in range(rng.randint(3, 5)))),
             ][shape]
             name = rng.choice(harmless)
             if shape in (2, 3):
                 before, after = rng.choice(((f"{text()} {name} ", f" {text()}"), (f"{name}: ", f" {text()}"), (f'{name} = "', '"'), (f"{name}/", " ")))
             else:
                 before, after = rng.choice(((f"{text()} ", f" {text()}"), (f'{rng.choice(words)} = "', '"'), (f"{text()}\n", f", {text()}"), (f"{rng.choice(names)} in ", f" {text()}")))
-        if len(key) >= 16:
-            out.append({"before": before[-BEFORE:], "candidate": key, "after": after[:AFTER], "secret": int(secret)})
-    return out
+        # cut as a scan cuts the whole text; a long name beside a key is no secret
+        whole, at = before + key + after, len(before)
+        for m in re.finditer(CANDIDATE, whole):
+            out.append({"before": whole[max(m.start() - BEFORE, 0) : m.start()], "candidate": m[0], "after": whole[m.end() : m.end() + AFTER], "secret": int(secret and m.start() <= at < m.end())})
+    return out[:count]
 
 
 def findings_table(spark: SparkSession, findings: list[dict]) -> DataFrame:
