@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -161,6 +162,54 @@ def test_language_held_out_accuracy(spark):
     assert sum(r.rejected for r in got) <= 0.01 * len(got) and all(0 <= r.score <= 1 for r in got)
 
 
+def _plain_buckets(text):
+    """N-grams of 1 to 4 bytes within words and their borders, one at a time."""
+    words = re.findall(rb"[a-z\x80-\xff]+", bytes(c | 32 if 65 <= c <= 90 else c for c in text.encode()))
+    out = collections.Counter()
+    for w in words:
+        w = b" " + w + b" "
+        for n in (1, 2, 3, 4):
+            for i in range(len(w) - n + 1):
+                gram = w[i : i + n]
+                if gram != b" " and not (n > 2 and len(w) - 2 < n - 2):
+                    code = 0
+                    for c in gram:
+                        code = (code * 257 + c + 1) % 2**32
+                    mixed = code * 2654435761 % 2**32
+                    out[(mixed ^ (mixed >> 15)) % langid.BUCKETS] += 1
+    # neighbouring words share the border between them
+    return out
+
+
+def test_language_buckets_by_hand():
+    for text in ["", "a", "Ab", "it's  naïve 日本, x", " two words\n", *("".join(RNG.choice("abé 日1\n") for _ in range(40)) for _ in range(50))]:
+        found, counts = langid.bucket_counts(text.encode())
+        assert dict(zip(found.tolist(), counts.tolist())) == _plain_buckets(text), text
+        for size in (1, 2, 3, 7):  # the ends of stretches change nothing
+            again = langid.bucket_counts(text.encode(), size)
+            assert [x.tolist() for x in again] == [found.tolist(), counts.tolist()]
+
+
+def test_language_logits_by_hand():
+    rng = np.random.default_rng(4)
+    model = langid.LanguageModel(["a", "b"], rng.normal(size=(langid.BUCKETS, 2)), rng.normal(size=2))
+    for text in ("one two", "naïve 日本", "x" * 500):
+        own = _plain_buckets(text)
+        want = sum(model.table[k].astype(float) * n for k, n in own.items()) / sum(own.values()) + model.bias
+        assert np.allclose(model.logits(text.encode()), want)
+    assert model.logits(b" 12 !") is None and model.predict(b"") == ("und", 0.0)
+
+
+def test_language_rejects_strange_texts_only():
+    rng = np.random.default_rng(5)
+    halves = [np.arange(0, 400), np.arange(400, 800)]
+    bags = [(np.unique(x), np.unique(x, return_counts=True)[1].astype(np.float32)) for x in (rng.choice(halves[i % 2], 300) for i in range(1500))]
+    model = langid.train(bags, ["ab"[i % 2] for i in range(1500)])
+    own = model.mean(*bags[0]) / model.temperature
+    assert 1 / (1 + np.exp(-abs(own[0] - own[1]))) >= model.reject_below > 0.5
+    assert langid.train(bags[:60], ["ab"[i % 2] for i in range(60)]).reject_below == 0
+
+
 def test_language_edges(docs):
     got = langid.identify(docs).collect()
     assert len(got) == len(TEXTS) + 3
@@ -187,18 +236,37 @@ def test_top_k_is_brute_force(spark):
     assert dict(got) == want
 
 
+def _ranked(rows, k=5):
+    """Brute force in Python's integers: every id divisible by 50 asks all rows of other ids."""
+    whole = {}
+    for i, v in rows:
+        whole[i] = min(whole.get(i, v), v)
+    out = []
+    for q in sorted(i for i in whole if i % 50 == 0):
+        best = sorted((-sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(whole[q], w)), i) for i, w in rows if i != q and len(w) == len(whole[q]))[:k]
+        out += [(q, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(best)]
+    return out
+
+
+def _top(spark, rows):
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    return sorted(tuple(r) for r in topk.search_embeddings(table).select("query_id", "rank", "vec_id", "score").collect())
+
+
 def test_top_k_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "DATA_BLOCK", 60)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
-    rows = [(i, [float((i * 7) % 13), float(i % 5)]) for i in range(250)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = sorted((r.query_id, r.rank, r.vec_id) for r in topk.search_embeddings(table).collect())
-    want = []
-    for q, v in rows:
-        if q % 50 == 0:
-            ranked = sorted(((-sum(a * b * 65536 for a, b in zip(v, w)), i) for i, w in rows if i != q))[:5]
-            want += [(q, n + 1, i) for n, (_, i) in enumerate(ranked)]
-    assert got == sorted(want)
+    rows = [(i, [float((i * 7) % 13), float(i % 5)]) for i in range(250)] + [(1000 + i, [3.0, 3.0]) for i in range(200)]
+    assert _top(spark, rows) == _ranked(rows)
+
+
+def test_top_k_of_any_id_and_size(spark):
+    # negative ids, ids and rows that repeat, other lengths, and vectors whose products pass a long
+    rows = [(0, [1.0, 1.0]), (-1, [5.0, 5.0]), (-50, [2.0, 2.0]), (3, [3.0, 3.0]), (3, [3.0, 3.0]), (100, [4.0, 0.5]), (100, [0.5, 4.0]), (150, [1.0]), (7, [2.0])]
+    assert _top(spark, rows) == _ranked(rows)
+    rows += [(50, [1e30, 1.0]), (51, [-1e30, 2.0]), (52, [2e30, 0.0]), (200, [1e200, -1e200])]
+    assert _top(spark, rows) == _ranked(rows)
+    assert _top(spark, [(50, [1.0]), (1, [1e308]), (2, [2.0])]) == [(50, 1, 2, 131072)]
 
 
 def test_cover_tree_covers():
@@ -207,6 +275,9 @@ def test_cover_tree_covers():
     for centre, radius, rows, children in zip(tree.centre, tree.radius, tree.members, tree.children, strict=True):
         assert np.sqrt(((points[rows] - centre) ** 2).sum(axis=1)).max() <= radius + 1e-9
         assert not children or sorted(np.concatenate([tree.members[c] for c in children])) == sorted(rows)
+        # children cover half the radius and their centres are further apart than that
+        assert all(tree.radius[c] <= radius / 2 + 1e-6 for c in children)
+        assert all(np.linalg.norm(tree.centre[c] - tree.centre[d]) > radius / 2 - 1e-6 for n, c in enumerate(children) for d in children[:n])
 
 
 # 5
