@@ -4,9 +4,9 @@ A document goes where sum over gaps g of N(g)^2 becomes smallest, N(g) being the
 number of open sequences with g free places (full ones do not count); a new
 sequence is one of the choices.  Only lengths are packed: token ids never cross
 the network.  Rows are dealt to groups of about GROUP pieces by a hash of
-(doc_id, piece, start); each group is packed in one task, largest pieces first,
-so a group leaves a handful of sequences open at most, of the more than ten
-thousand that it fills.
+their place in the saved table of pieces, whatever their ids; each group is packed
+in one task, largest pieces first, so a group leaves a handful of sequences open
+at most, of the more than ten thousand that it fills.
 """
 
 from __future__ import annotations
@@ -44,12 +44,14 @@ class WordTokenizer:
     a text are those of its stretches between ASCII white space.  Stretches of
     plain lower- or upper-case Latin words go through a byte merge table built
     from the same merges (the last letter, which carries the end mark, is
-    written as a capital); anything else is encoded by the tokenizer itself.
+    written as a capital); anything else, added tokens among it, is encoded by
+    the tokenizer itself.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # added tokens are found in the text as it is, before anything else
+        self.special = re.compile("|".join(map(re.escape, sorted((x.content for x in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True))) or "(?!)").search
         self.stretches = _Known(self.stretch)
         self.words = _Known(self.word)
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
@@ -84,6 +86,8 @@ class WordTokenizer:
 
     def stretch(self, data: bytes) -> bytes:
         text = data.decode()
+        if self.special(text):
+            return self.exact(text)
         if self.plain(text):
             return b"".join(map(self.words.__getitem__, self.cut(text.lower())))
         if any(map("Σİ".__contains__, text)) or not text.isprintable() or not unicodedata.is_normalized("NFC", text):
@@ -174,13 +178,15 @@ def sum_of_squares(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarra
 
 
 def pack_pieces(pieces: DataFrame, size: int = SEQUENCE, group: int = GROUP) -> DataFrame:
-    """Adds sequence_id and offset to rows of `pieces` (doc_id, piece, start, length, ids_crc32).
+    """Adds sequence_id and offset to rows of `pieces` (doc_id, piece, start, length, ids_crc32), a saved table.
 
-    Repeated rows are packed as often as they come; an empty table gives none.
+    Repeated rows are packed as often as they come, and rows of one id (or none)
+    are spread over all groups; an empty table gives none.
     """
     total = pieces.count()
     groups = max(1, -(-total // group))
-    keyed = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)).cast("int") if groups > 1 else F.lit(0))
+    place = F.xxhash64(F.monotonically_increasing_id())
+    keyed = pieces.withColumn("group", F.pmod(place, F.lit(groups)).cast("int") if groups > 1 else F.lit(0))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable")

@@ -285,7 +285,6 @@ def test_cover_tree_covers():
 
 def test_packing(docs):
     hf = Tokenizer.from_file(P.path(packing.VOCABULARY))
-    hf.encode_special_tokens = True
     rows = packing.pack_documents(docs).collect()
     pieces, places = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
@@ -308,6 +307,24 @@ def test_packing(docs):
     assert len(places) == -(-sum(r.length for r in rows) // 4096)
 
 
+def test_packing_takes_special_tokens(spark):
+    hf = Tokenizer.from_file(P.path(packing.VOCABULARY))
+    own = packing.tokenizer(P.path(packing.VOCABULARY))
+    assert hf.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [3306, 49407, 1002]
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "a", "Hello", " ", "\n", "é", "'s", "9", "<|endoftext", "|", "e\u0301", "\u00a0", "\u200b", "\u3000x"]
+    for _ in range(3000):
+        text = "".join(RNG.choice(parts) for _ in range(RNG.randint(0, 9)))
+        assert list(array("I", own.packed(text.encode()))) == hf.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_packing_spreads_one_id(spark):
+    pieces = spark.range(9000).selectExpr("cast(null as long) as doc_id", "0 as piece", "0L as start", "cast(1000 + id % 3000 as long) as length", "1L as ids_crc32")
+    pieces.write.mode("overwrite").parquet(spark.conf.get("spark.checkpoint.dir") + "/one-id")
+    got = packing.pack_pieces(spark.read.parquet(spark.conf.get("spark.checkpoint.dir") + "/one-id"), group=1000)
+    sizes = [r["count"] for r in got.groupBy(F.expr("sequence_id >> 40")).count().collect()]
+    assert len(sizes) == 9 and sum(sizes) == 9000 and max(sizes) < 1200
+
+
 def test_sum_of_squares_follows_its_rule():
     size, lengths = 12, [RNG.randint(1, 12) for _ in range(120)]
     gaps, want = [], []
