@@ -23,17 +23,52 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def prefix_sums(values: Column) -> Column:
-    """Sums of the elements before each element of an array of bigint."""
+def _most(values: Column) -> Column:
+    return F.coalesce(F.array_max(values), F.lit(0).cast("bigint"))
+
+
+def in_chunks(values: Column, size: int = CHUNK) -> Column:
+    """A non-empty array cut into arrays of `size` elements."""
+    count = F.floor((F.size(values) + (size - 1)) / size).cast("int")
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.slice(values, j * size + 1, size))
+
+
+def _before(values: Column, fold, both) -> Column:
+    """fold() of the elements before each element of a non-empty array, in two levels."""
 
     def chunked(chunks: Column) -> Column:
         def based(totals: Column) -> Column:
-            return F.flatten(F.transform(chunks, lambda c, j: let(_sum(F.slice(totals, F.lit(1), j)), lambda base: F.transform(c, lambda _, i: base + _sum(F.slice(c, F.lit(1), i))))))
+            return F.flatten(F.transform(chunks, lambda c, j: let(fold(F.slice(totals, F.lit(1), j)), lambda base: F.transform(c, lambda _, i: both(base, fold(F.slice(c, F.lit(1), i)))))))
+
+        return let(F.transform(chunks, fold), based)
+
+    return let(in_chunks(values), chunked)
+
+
+def prefix_sums(values: Column) -> Column:
+    """Sums of the elements before each element of an array of bigint."""
+    return _before(values, _sum, lambda a, b: a + b)
+
+
+def prefix_most(values: Column) -> Column:
+    """Greatest of the elements before each element of an array of bigint; 0 before the first."""
+    return _before(values, _most, lambda a, b: F.greatest(a, b))
+
+
+#: Code points of the parts that a text is cut into, so that a place in it is reached without going over all before.
+PART = 1024
+
+
+def parts_of(text: Column) -> Column:
+    """The text in parts of PART code points, for `cut`."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PART}}}"), F.lit(0))
 
-        return let(F.transform(chunks, _sum), based)
 
-    count = F.floor((F.size(values) + (CHUNK - 1)) / CHUNK).cast("int")
-    return let(F.transform(F.sequence(F.lit(0), count - 1), lambda j: F.slice(values, j * CHUNK + 1, CHUNK)), chunked)
+def cut(parts: Column, start: Column, count: Column) -> Column:
+    """`count` code points from place `start` (0 is the first) of a text given as `parts_of` it."""
+    first = F.floor(start / PART).cast("int")
+    last = F.floor((start + count - 1) / PART).cast("int")
+    return F.substring(F.array_join(F.slice(parts, first + 1, F.greatest(last - first + 1, F.lit(0))), ""), (start - first * PART + 1).cast("int"), count.cast("int"))
 
 
 def found(text: Column, pattern: str) -> Column:
