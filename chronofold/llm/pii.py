@@ -321,7 +321,7 @@ def _written(spans: Column) -> Column:
 
 
 def find_personal_data(docs: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
-    """Per row of docs: doc_id, base counts, base_sha256, spans and n_added.
+    """Per row of docs: doc_id, base counts, base_sha256, spans, n_added and n_spans.
 
     A null or empty text has no spans; repeated rows give repeated rows; an
     empty table gives none; of spans of one kind and start the shorter comes first.
@@ -332,7 +332,7 @@ def find_personal_data(docs: DataFrame, gazetteer: DataFrame | None = None) -> D
     rows = save(candidates(docs, gazetteer=gazetteer).select(F.col("row.doc_id").alias("doc_id"), "base", "more"), "spans")
     rows = rows.select("doc_id", "base", all_spans(fit(vote_patterns(rows))).alias("spans"))
     counts = [F.size(F.filter("base", _of(kind))).cast("bigint").alias(f"n_{kind}") for kind in KINDS]
-    return rows.select("doc_id", *counts, F.sha2(_written(F.col("base")).cast("binary"), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("bigint").alias("n_added"))
+    return rows.select("doc_id", *counts, F.sha2(_written(F.col("base")).cast("binary"), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("bigint").alias("n_added"), F.size("spans").cast("bigint").alias("n_spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:

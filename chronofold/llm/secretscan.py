@@ -1,9 +1,10 @@
 """Secret scanning with false positives removed by a random forest, in DataFrame expressions only.
 
-Candidates are runs of 16 or more key characters, with or without digits.  An
-equals sign ends a run, so the name of an assignment is not part of it; one or
-two that nothing of a key follows are padding (before a quote, only if a quote
-opens the run).
+Candidates are blocks of a private key from its first to its last line, and runs
+of 16 or more key characters, with or without digits.  A full stop at a run's end
+belongs to the sentence.  An equals sign or a colon ends a run, so the name of an
+assignment is not part of it; one or two equals signs that nothing of a key
+follows are padding (before a quote, only if a quote opens the run).
 Features are the candidate's length, its character classes and transitions, how
 much of it a dictionary covers, whether it looks like a path, and the words
 beside it.  The forest is trained on labelled findings (before, candidate,
@@ -25,10 +26,12 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm.spans import found, let
+from chronofold.llm.spans import cut, found, let, parts_of
 
 _KEY = "A-Za-z0-9+/_.-"
-CANDIDATE = rf"(?<=[\x22'`])[{_KEY}]{{16,}}+(?:={{1,2}}(?![{_KEY}=]))?|(?<![{_KEY}])[{_KEY}]{{16,}}+(?:={{1,2}}(?![{_KEY}=\x22'`]))?"
+_RUN = rf"[{_KEY}]{{15,}}[A-Za-z0-9+/_-](?![A-Za-z0-9+/_-])"
+_BLOCK = r"-----BEGIN [A-Z0-9\x20]{0,40}PRIVATE KEY-----[^-]{16,}+-----END [A-Z0-9\x20]{0,40}PRIVATE KEY-----"
+CANDIDATE = rf"{_BLOCK}|(?<=[\x22'`]){_RUN}(?:={{1,2}}(?![{_KEY}=]))?|(?<![{_KEY}]){_RUN}(?:={{1,2}}(?![{_KEY}=\x22'`]))?"
 BEFORE, AFTER = 40, 16
 #: Findings that training reads at most.
 FINDINGS = 4000
@@ -37,7 +40,7 @@ SECRET_WORDS = "token|secret|password|passwd|pwd|apikey|api_key|api-key|access_k
 HARMLESS_WORDS = "commit|sha1|sha256|md5|checksum|hash|digest|revision|rev|uuid|guid|version|id|integrity|etag|build|file|path|image|data|order|isbn|phone|number"
 DICTIONARY = "the|and|ing|ion|ent|for|ter|user|name|file|path|data|test|main|src|lib|bin|usr|home|com|org|www|http|html|index|config|service|server|client|value|type|image|static|public|model|build|release|version|module|class|order|list|item|page|report|backup|archive|project|document|example|number|system|local|share|assets|script|style|table|query|result"
 
-FEATURES = ("length", "digits", "upper", "lower", "signs", "transitions", "distinct", "dictionary", "slashes", "dots", "dashes", "hex", "secret_word", "harmless_word", "assigned", "quoted")
+FEATURES = ("length", "digits", "upper", "lower", "signs", "transitions", "distinct", "dictionary", "slashes", "dots", "dashes", "hex", "secret_word", "harmless_word", "assigned", "quoted", "block")
 
 
 def features(before: Column, candidate: Column, after: Column) -> dict[str, Column]:
@@ -64,6 +67,7 @@ def features(before: Column, candidate: Column, after: Column) -> dict[str, Colu
         "harmless_word": F.regexp(lowered, F.lit(rf"(?<![a-z])(?:{HARMLESS_WORDS})[\x22']?\x20{{0,2}}[:=/-]?\x20{{0,2}}[\x22']?$")).cast("double"),
         "assigned": F.regexp(before, F.lit(r"[:=]\x20{0,2}[\x22']?$")).cast("double"),
         "quoted": (F.regexp(before, F.lit(r"[\x22'`]$")) & F.regexp(after, F.lit(r"^[\x22'`]"))).cast("double"),
+        "block": F.startswith(candidate, F.lit("-----BEGIN ")).cast("double"),
     }
 
 
@@ -80,13 +84,15 @@ def default_findings(count: int = FINDINGS, seed: int = 7) -> list[dict]:
     while len(out) < count:
         secret = rng.random() < 0.5
         if secret:
-            shape = rng.randrange(7)
-            key = [pick(hexes, rng.choice((32, 40, 64))), pick(upper_hex, rng.choice((32, 40))), pick(base62, rng.randint(20, 48)), "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), rng.choice(("ghp_", "sk-", "xoxb-", "glpat-")) + pick(base62, rng.randint(20, 40)), pick(base62 + "+/", rng.choice((40, 64))) + rng.choice(("", "=", "==")), rng.choice(("AKIA", "", "ghp_", "sk-")) + pick(rng.choice((letters, letters.lower(), letters.upper())), rng.randint(16, 40))][shape]
+            shape = rng.randrange(8)
+            key = [pick(hexes, rng.choice((32, 40, 64))), pick(upper_hex, rng.choice((32, 40))), pick(base62, rng.randint(20, 48)), "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), rng.choice(("ghp_", "sk-", "xoxb-", "glpat-")) + pick(base62, rng.randint(20, 40)), pick(base62 + "+/", rng.choice((40, 64))) + rng.choice(("", "=", "==")), rng.choice(("AKIA", "", "ghp_", "sk-")) + pick(rng.choice((letters, letters.lower(), letters.upper())), rng.randint(16, 40)), _block(pick, rng)][shape]
             name = rng.choice(names)
             name = rng.choice((name, name.upper(), rng.choice(words) + "_" + name))
-            form = rng.randrange(5)
-            before, after = [(f'{text()} {name} = "', f'" {text()}'), (f"{text()} {name}='", "'"), (f"{name}: ", f"\n{text()}"), (f"{text()} {name}=", f" {text()}"), (f'"{name}": "', '",')][form]
-            if (shape in (3, 4) or key[:4] in ("AKIA", "ghp_")) and rng.random() < 0.3:
+            form = rng.randrange(6)
+            before, after = [(f'{text()} {name} = "', f'" {text()}'), (f"{text()} {name}='", "'"), (f"{name}: ", f"\n{text()}"), (f"{text()} {name}=", f" {text()}"), (f'"{name}": "', '",'), (f"{rng.choice(('Authorization: ', text() + ' '))}{rng.choice(('Bearer', 'bearer', 'token'))} ", rng.choice((f" {text()}", ".", f"\n{text()}")))][form]
+            if shape == 7:
+                before, after = rng.choice(("", f"{text()}\n", f"{name}: ")), f"\n{text()}"
+            elif (shape in (3, 4) or key[:4] in ("AKIA", "ghp_")) and rng.random() < 0.3:
                 before, after = f"{text()} ", f" {text()}"
         else:
             shape = rng.randrange(12)
@@ -118,6 +124,13 @@ def default_findings(count: int = FINDINGS, seed: int = 7) -> list[dict]:
     return out[:count]
 
 
+def _block(pick, rng: random.Random) -> str:
+    """A made-up private key of a few lines."""
+    kind = rng.choice(("", "RSA ", "EC ", "OPENSSH "))
+    lines = "\n".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 64) for _ in range(rng.randint(2, 5)))
+    return f"-----BEGIN {kind}PRIVATE KEY-----\n{lines}\n-----END {kind}PRIVATE KEY-----"
+
+
 def findings_table(spark: SparkSession, findings: list[dict]) -> DataFrame:
     kind = "array<struct<before:string,candidate:string,after:string,secret:int>>"
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(findings)), kind)).alias("f")).select("f.*")
@@ -147,9 +160,13 @@ def _grow(rows: list[tuple], rng: random.Random, depth: int):
 
 
 def train(findings: DataFrame, limit: int = FINDINGS, seed: int = 7) -> list:
-    """A forest from a table (before, candidate, after, secret) of which at most `limit` rows are read."""
+    """A forest from a table (before, candidate, after, secret) of which at most `limit` rows are read.
+
+    Rows are taken by a hash of what they hold, so the same table gives the same
+    forest.
+    """
     made = features(F.coalesce("before", F.lit("")), F.col("candidate"), F.coalesce("after", F.lit("")))
-    rows = findings.where("candidate is not null and candidate <> '' and secret is not null").limit(limit).select(*[made[x].alias(x) for x in FEATURES], F.col("secret").cast("int").alias("secret")).collect()
+    rows = findings.where("candidate is not null and candidate <> '' and secret is not null").orderBy(F.xxhash64("before", "candidate", "after", "secret"), "before", "candidate", "after", "secret").limit(limit).select(*[made[x].alias(x) for x in FEATURES], F.col("secret").cast("int").alias("secret")).collect()
     data = sorted((tuple(r[:-1]), r[-1]) for r in rows)
     rng = random.Random(seed)
     return [_grow([rng.choice(data) for _ in data], rng, DEPTH) for _ in range(TREES)] if data else [0.0]
@@ -199,12 +216,18 @@ def scanned(docs: DataFrame, forest: list, text: str = "text", threshold: float
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(docs[text], F.lit("")).alias("t"))
     rows = rows.select("row", "t", found(F.col("t"), CANDIDATE).alias("c"))
 
-    def scored(s: Column) -> Column:
+    def scored(parts: Column, s: Column) -> Column:
         begin = F.greatest(s["start"] - BEFORE, F.lit(0))
-        made = features(F.substring(F.col("t"), begin + 1, s["start"] - begin), s["value"], F.substring(F.col("t"), s["end"] + 1, F.lit(AFTER)))
-        return let(F.array(*[made[x] for x in FEATURES]), lambda m: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), compiled(forest, m).alias("score")))
+        near = F.struct(cut(parts, begin, s["start"] - begin).alias("before"), cut(parts, s["end"], F.lit(AFTER)).alias("after"))
+
+        def values(x: Column) -> Column:
+            made = features(x["before"], s["value"], x["after"])
+            return F.array(*[made[name] for name in FEATURES])
+
+        return let(let(near, values), lambda m: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), compiled(forest, m).alias("score")))
 
-    rows = rows.select("row", "t", "c", F.when(F.size("c") > 0, F.transform("c", scored)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string,score:double>>")).alias("scored"))
+    judged = let(parts_of(F.col("t")), lambda parts: F.transform("c", lambda s: scored(parts, s)))
+    rows = rows.select("row", "t", "c", F.when(F.size("c") > 0, judged).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string,score:double>>")).alias("scored"))
     return rows.select("row", "t", F.size("c").cast("bigint").alias("n_candidates"), F.filter("scored", lambda s: s["score"] >= threshold).alias("secrets"))
 
 
@@ -212,7 +235,9 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
     """Per row of docs: doc_id, n_candidates, n_secrets, spans (start:end by start, comma-joined; code points).
 
     A null or empty text has none; repeated rows give repeated rows; an empty
-    table gives no rows.
+    table gives no rows; other columns are not read.  A score of exactly the
+    threshold counts as a secret.  Work on very long texts grows with their length
+    and candidates, not with their product.
     """
     spark = docs.sparkSession
     forest = train(findings if findings is not None else findings_table(spark, default_findings()))
