@@ -47,20 +47,44 @@ def scratch(spark: SparkSession) -> str:
     return made
 
 
+#: Tables that save() wrote and nothing has removed yet, in the order of writing.
+_SAVED: list[str] = []
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/chronofold/{tag}-{uuid.uuid4().hex}"
+    _SAVED.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
 
 
-def drop(df: DataFrame) -> None:
-    """Removes a table that save() wrote and nothing reads any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _remove(spark: SparkSession, path: str) -> None:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+    if path in _SAVED:
+        _SAVED.remove(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables, as save() returned them, that nothing reads any more."""
+    for df in tables:
+        _remove(df.sparkSession, df.saved_at)
+
+
+def saved() -> list[str]:
+    """Paths of the tables that save() wrote and that are still there."""
+    return list(_SAVED)
+
+
+def sweep(spark: SparkSession, before: list[str], *kept: DataFrame) -> None:
+    """Removes the tables written since saved() gave `before`, but those kept; results that read them must be saved."""
+    stay = {*before, *(df.saved_at for df in kept)}
+    for path in [p for p in _SAVED if p not in stay]:
+        _remove(spark, path)
 
 
 def free_name(df: DataFrame, stem: str) -> str:

@@ -134,16 +134,17 @@ def components(links: DataFrame) -> DataFrame:
     edges = save(links.select(F.col("a").alias("from"), F.col("b").alias("to")).union(links.select("b", "a")).where("from <> to").distinct(), "edges")
     labels = save(edges.groupBy(F.col("from").alias("id")).agg(F.least(F.min("to"), F.col("id")).alias("component")), "labels")
     while True:
-        near = edges.join(labels, edges["to"] == labels["id"]).groupBy(F.col("from").alias("id")).agg(F.min("component").alias("near"))
-        reached = labels.join(near, "id").select("id", F.least("component", "near").alias("reached"), F.col("component").alias("was"))
-        ahead = labels.select(F.col("id").alias("reached"), F.col("component").alias("ahead"))
+        labelled = labels.select("id", "component")
+        near = edges.join(labelled, F.col("to") == F.col("id")).groupBy("from").agg(F.min("component").alias("near")).withColumnRenamed("from", "id")
+        reached = labelled.join(near, "id").select("id", F.least("component", "near").alias("reached"), F.col("component").alias("was"))
+        ahead = labelled.select(F.col("id").alias("reached"), F.col("component").alias("ahead"))
         moved = save(reached.join(ahead, "reached", "left").select("id", F.least("reached", "ahead").alias("component"), "was"), "labels")
         done = moved.where("component <> was").isEmpty()
         drop(labels)
-        labels = moved.select("id", "component")
+        labels = moved
         if done:
             drop(edges)
-            return labels
+            return labels.select("id", "component")
 
 
 def missed_links(members: DataFrame, ids: DataFrame, sets: DataFrame, own: DataFrame, percent: int) -> DataFrame:
@@ -214,7 +215,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     shingle sets.  A null text counts as empty; a document without words has no
     shingles, is linked with nothing and kept.  Rows that share a doc_id are one
     document.  A row without doc_id is linked with nothing; its component is
-    null and it is kept.  Other columns are not read.
+    null and it is kept.  Very long texts are one set like any other; an empty
+    table gives no rows.  Other columns are not read.
     """
     # copies of a set are one node, named by their least document
     rows = save(signatures(docs, size), "signatures")
@@ -227,13 +229,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     pairs = members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     links = save(confirm(pairs, sets, percent), "links")
     own = components(links)
-
     more = save(missed_links(members, ids, sets, own, percent), "links")
     if not more.isEmpty():
         own = components(links.union(more))
 
     # from nodes back to all copies
-    named = nodes.select("print", "id").join(own, "id", "left").select("print", F.coalesce("component", "id").alias("component"))
+    named = save(nodes.select("print", "id").join(own, "id", "left").select("print", F.coalesce("component", "id").alias("component")), "named")
+    drop(members, ids, sets, links, more)
     same = rows.select("doc_id", "n_shingles", "print")
     linked = same.where("print is not null and doc_id is not null").join(named, "print").select("doc_id", "n_shingles", "component")
     alone = same.where("print is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import numbered
+from chronofold.llm.common import numbered, save
 
 #: Name, meaning and test of each rule over the measurements; the position is the bit.
 RULES: list[tuple[str, str]] = [
@@ -108,14 +108,46 @@ def ablations(rows: DataFrame, version: int = POLICY) -> DataFrame:
     )
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_exclamations", "n_lines")
+
+
+def saved_ledger(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The ledger as a written table: doc_id, the measurements and failed; every text is read once.
+
+    Policies and ablations of any version read this table only.
+    """
+    return save(ledger(docs, text).select(F.col("row.doc_id").alias("doc_id"), *MEASURES, "failed"), "ledger")
+
+
 def judge(docs: DataFrame, version: int = POLICY) -> DataFrame:
-    """The ledger and a policy's verdict per row of docs: doc_id, measurements, base_failed, kept, failed."""
-    rows = apply_policy(ledger(docs), version)
+    """A saved ledger with a policy's verdict per row of docs: doc_id, measurements, base_failed, kept, failed.
+
+    A null or empty text has no words and fails; repeated rows give repeated rows,
+    an empty table none; very long texts are measured as a whole; other columns
+    are not read.
+    """
+    rows = apply_policy(saved_ledger(docs), version)
     base = F.col("failed").bitwiseAND(F.lit(BASE).cast("bigint")) != 0
-    return rows.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.col("kept")).alias("kept"), "failed")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.col("kept")).alias("kept"), "failed")
 
 
 def keep_good(docs: DataFrame, version: int = POLICY) -> DataFrame:
-    """The rows of docs, columns and all, that pass a policy."""
+    """The rows of docs, columns and all, that pass a policy.
+
+    Null and empty texts go; repeated rows are judged alike; an empty table gives
+    no rows.
+    """
     rows = numbered(ledger(docs).select("row", "failed"), "number")
     return rows.where(passes(F.col("failed"), version) & (F.col("number") >= 0)).select("row.*")
+
+
+def ablation_report(docs: DataFrame, versions: tuple[int, ...] = tuple(POLICIES)) -> DataFrame:
+    """version, rule, n_failed and n_only of every policy version, all from one saved ledger.
+
+    A rule that nothing fails has zeros; an empty table gives no rows.
+    """
+    rows, out = saved_ledger(docs), None
+    for version in versions:
+        own = ablations(rows, version).select(F.lit(version).alias("version"), "rule", "n_failed", "n_only")
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -34,6 +34,10 @@ def op7_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def quality_ablations(spark, sf_dir):
+    return quality.ablation_report(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -54,22 +58,14 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_rules": op7_quality_rules,
+    "quality_ablations": quality_ablations,
     "op8_minhash": op8_minhash,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
 }
 
-#: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {
-    "op4_exact_top_k": """
-        WITH rows AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::DOUBLE) AS v FROM embeddings
-                      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-        scored AS (SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.v, d.v)::BIGINT AS score
-                   FROM rows q JOIN rows d ON d.vec_id <> q.vec_id AND q.vec_id % 50 = 0 AND len(q.v) = len(d.v))
-        SELECT query_id, rank, vec_id, score FROM (
-            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored) WHERE rank <= 5
-    """,
-    "op7_quality_rules": r"""
+#: The ledger of the quality rules as common table expressions; f is the ledger.
+_LEDGER = r"""
         WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
         w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
         g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
@@ -80,8 +76,29 @@ ORACLES: dict[str, str] = {
               FROM w LEFT JOIN c USING (rid)),
         f AS (SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > 2 * n_words)::BIGINT + 8 * (10 * n_capitals > 3 * word_chars)::BIGINT
                 + 16 * (2 * n_exclamations > n_words)::BIGINT + 32 * (n_lines >= 4 AND 2 * n_dup_lines > n_lines)::BIGINT + 64 * (word_chars > 40 * n_words)::BIGINT)::BIGINT AS failed FROM m)
+"""
+
+#: DuckDB SQL of the queries that SQL can express.
+ORACLES: dict[str, str] = {
+    "op4_exact_top_k": """
+        WITH rows AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::DOUBLE) AS v FROM embeddings
+                      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        scored AS (SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.v, d.v)::BIGINT AS score
+                   FROM rows q JOIN rows d ON d.vec_id <> q.vec_id AND q.vec_id % 50 = 0 AND len(q.v) = len(d.v))
+        SELECT query_id, rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored) WHERE rank <= 5
+    """,
+    "op7_quality_rules": _LEDGER
+    + """
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
     """,
+    "quality_ablations": _LEDGER
+    + """
+        , v AS (SELECT unnest([1, 2, 3]) AS version, unnest([3, 15, 127]) AS mask),
+        b AS (SELECT unnest(range(7)) AS place, unnest(['few_words', 'repeated_windows', 'symbols', 'capitals', 'exclamations', 'repeated_lines', 'long_words']) AS rule)
+        SELECT version::INTEGER AS version, rule, count(*) FILTER (failed & (1 << place) <> 0)::BIGINT AS n_failed, count(*) FILTER (failed & mask = 1 << place)::BIGINT AS n_only
+        FROM f, v, b WHERE mask & (1 << place) <> 0 GROUP BY ALL
+    """,
     "op8_minhash": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS sh FROM w)),

@@ -503,6 +503,16 @@ def test_quality_ablations(docs):
         assert (r.n_failed, r.n_only) == (sum(bool(x & bit) for x in rows), sum(x == bit for x in rows))
 
 
+def test_quality_report_reads_a_stored_ledger(docs):
+    rows = [r.failed for r in quality.judge(docs).collect()]
+    got = {(r.version, r.rule): (r.n_failed, r.n_only) for r in quality.ablation_report(docs).collect()}
+    for version, mask in quality.POLICIES.items():
+        for rule, bit in quality.BITS.items():
+            if bit & mask:
+                assert got.pop((version, rule)) == (sum(bool(x & bit) for x in rows), sum(x & mask == bit for x in rows))
+    assert not got
+
+
 # 8
 
 
@@ -548,6 +558,17 @@ def test_near_duplicates(spark, docs):
     assert got[None].component_id is None and got[None].kept
 
 
+def test_pairs_at_the_edge_share_a_band():
+    # 80 of 100 shingles in common, no more: the least that is linked
+    rng, lost = np.random.default_rng(6), 0
+    for _ in range(3000):
+        codes = np.unique(rng.integers(0, 2**63, 100).astype(np.uint64))
+        x, y = codes[:90], codes[10:]
+        lost += not np.intersect1d(minhash.bands(minhash.signature(x)), minhash.bands(minhash.signature(y))).size
+        assert len(codes) == 100
+    assert lost == 0
+
+
 def test_missed_links_are_found():
     # x is close to y, but both are far from the centre of their bucket
     codes = np.unique(np.random.default_rng(2).integers(0, 2**63, 400).astype(np.uint64))
@@ -590,7 +611,7 @@ def test_sharding(docs):
 
 def test_shard_maps():
     sizes = [(v, RNG.randint(1, 1000), 1) for v in range(sharding.SLOTS)]
-    first = sharding.plan(sizes, 8)
+    first = sharding.rebalance(sharding.first_map(), sizes, 8)
     load = lambda m, n: [sum(s for v, s, _ in sizes if m[v] == k) for k in range(n)]
     assert max(load(first, 8)) - min(load(first, 8)) <= 1000
     grown = sharding.grow(first, sizes, 8)
@@ -601,6 +622,31 @@ def test_shard_maps():
     assert max(loads) / (sum(loads) / 8) < 1.05 and sum(again[v] != first[v] for v in first) < len(first) / 2
 
 
+def test_shard_map_is_stored_and_edited(spark, docs):
+    folder = spark.conf.get("spark.checkpoint.dir") + "/map"
+    one = sharding.shard_documents(docs, 3, folder=folder)
+    maps = lambda v: {r.virtual: r.shard for r in sharding.read_map(spark, folder, v).collect()}
+    assert sharding.read_map(spark, folder + "-none") is None and maps(1) == sharding.first_map(sharding.SLOTS, 3)
+    assert {r.version for r in one.collect()} == {2} and maps(2) != maps(1)
+    # the same table again needs no edit; another one does; the first versions stay
+    assert {r.version for r in sharding.shard_documents(docs, 3, folder=folder).collect()} == {2}
+    more = docs.select("doc_id", F.concat_ws("", "text", F.repeat(F.lit("z"), 100 * F.col("doc_id").cast("int"))).alias("text"))
+    assert {r.version for r in sharding.shard_documents(more, 3, folder=folder).collect()} == {3}
+    assert sharding.grow_map(spark, folder, sharding.records(more), 3) == 4
+    moved = {v: s for v, s in maps(4).items() if maps(3)[v] != s}
+    assert moved and set(moved.values()) == {3}
+    fewer = sharding.shard_documents(more, 2, folder=folder).collect()
+    assert {r.version for r in fewer} == {5} and {r.shard for r in fewer} <= {0, 1}
+
+
+def test_equal_rows_are_spread(spark):
+    rows = spark.range(30_000).selectExpr("if(id < 12000, null, id) as doc_id", "if(id < 12000, null, repeat('x', cast(id % 50 as int))) as text")
+    got = sharding.shard_documents(rows, 8).groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("slot").alias("last")).collect()
+    sizes = [r.bytes for r in got]
+    assert len(got) == 8 and sum(r.n for r in got) == 30_000 and all(r.last == r.n - 1 for r in got)
+    assert max(sizes) - min(sizes) <= 50
+
+
 # 10
 
 
