@@ -633,7 +633,8 @@ def test_shard_map_is_stored_and_edited(spark, docs):
     more = docs.select("doc_id", F.concat_ws("", "text", F.repeat(F.lit("z"), 100 * F.col("doc_id").cast("int"))).alias("text"))
     assert {r.version for r in sharding.shard_documents(more, 3, folder=folder).collect()} == {3}
     assert sharding.grow_map(spark, folder, sharding.records(more), 3) == 4
-    moved = {v: s for v, s in maps(4).items() if maps(3)[v] != s}
+    was = maps(3)
+    moved = {v: s for v, s in maps(4).items() if was[v] != s}
     assert moved and set(moved.values()) == {3}
     fewer = sharding.shard_documents(more, 2, folder=folder).collect()
     assert {r.version for r in fewer} == {5} and {r.shard for r in fewer} <= {0, 1}
