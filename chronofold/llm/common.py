@@ -51,9 +51,19 @@ def scratch(spark: SparkSession) -> str:
 _SAVED: list[str] = []
 
 
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, so that lost executors cost no recomputation."""
+#: Rows of a file where a table's size is known to be small for its number of tasks.
+FILE_ROWS = 1_000_000
+
+
+def save(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back, so that lost executors cost no recomputation.
+
+    rows: a bound on its rows, where rows are narrow and cheap; there are then no
+    more files than FILE_ROWS asks for.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{scratch(spark)}/chronofold/{tag}-{uuid.uuid4().hex}"
     _SAVED.append(path)
     df.write.parquet(path)

@@ -125,32 +125,33 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) of all ids in links (a, b): the least id that each can reach.
+    """(id, component) of all ids in links (a, b): the least id that each can reach; a saved table.
 
     Every round takes the least label among an id and its neighbours and then
     follows labels once (pointer jumping); each round's table is written, so
     lineage stays short.
     """
-    edges = save(links.select(F.col("a").alias("from"), F.col("b").alias("to")).union(links.select("b", "a")).where("from <> to").distinct(), "edges")
-    labels = save(edges.groupBy(F.col("from").alias("id")).agg(F.least(F.min("to"), F.col("id")).alias("component")), "labels")
+    count = 2 * links.count()
+    edges = save(links.select(F.col("a").alias("from"), F.col("b").alias("to")).union(links.select("b", "a")).where("from <> to").distinct(), "edges", count)
+    labels = save(edges.groupBy(F.col("from").alias("id")).agg(F.least(F.min("to"), F.col("id")).alias("component")), "labels", count)
     while True:
         labelled = labels.select("id", "component")
         near = edges.join(labelled, F.col("to") == F.col("id")).groupBy("from").agg(F.min("component").alias("near")).withColumnRenamed("from", "id")
         reached = labelled.join(near, "id").select("id", F.least("component", "near").alias("reached"), F.col("component").alias("was"))
         ahead = labelled.select(F.col("id").alias("reached"), F.col("component").alias("ahead"))
-        moved = save(reached.join(ahead, "reached", "left").select("id", F.least("reached", "ahead").alias("component"), "was"), "labels")
+        moved = save(reached.join(ahead, "reached", "left").select("id", F.least("reached", "ahead").alias("component"), "was"), "labels", count)
         done = moved.where("component <> was").isEmpty()
         drop(labels)
         labels = moved
         if done:
             drop(edges)
-            return labels.select("id", "component")
+            return labels
 
 
 def missed_links(members: DataFrame, ids: DataFrame, sets: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between documents of one bucket that are in different components so far.
+    """Pairs (a, b) of components that a link between documents of one bucket joins.
 
-    One link per document, other component and block is enough for components.
+    One link per document, other component and block is enough.
     """
     sizes = own.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     labelled = members.select("band", "id").join(own, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
@@ -183,7 +184,7 @@ def _columns(block: pa.Table) -> tuple[list[int], list[int], list[np.ndarray]]:
 
 
 def block_links(one, two, percent: int) -> list[tuple[int, int]]:
-    """Confirmed links of documents that share a bucket, one per document of `one` and component of `two`."""
+    """Pairs of components that a confirmed link joins, one per document of `one` and component of `two`; linked documents share a bucket."""
     (ids, own, sets), (other_ids, others, other_sets) = one, two
     where: dict[int, list[int]] = {}
     for j, codes in enumerate(other_sets):
@@ -203,7 +204,7 @@ def block_links(one, two, percent: int) -> list[tuple[int, int]]:
             both.sort()
             common = int((both[1:] == both[:-1]).sum())
             if 100 * common >= percent * (n + m - common):
-                links.append((ids[i], other_ids[j]))
+                links.append((own[i], others[j]))
                 done.add(others[j])
     return links
 
@@ -224,18 +225,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     keyed = nodes.select("id", F.explode("bands").alias("band"))
     buckets = keyed.groupBy("band").agg(F.min("id").alias("centre"), F.max("id").alias("other")).where("centre <> other").select("band", "centre")
     members = save(keyed.join(buckets, "band"), "members")
-    ids = save(members.select(F.col("id").alias("doc_id")).distinct(), "ids")
+    ids = save(members.select(F.col("id").alias("doc_id")).distinct(), "ids", members.count())
     sets = save(shingle_sets(docs, ids, size), "sets")
     pairs = members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     links = save(confirm(pairs, sets, percent), "links")
     own = components(links)
-    more = save(missed_links(members, ids, sets, own, percent), "links")
-    if not more.isEmpty():
-        own = components(links.union(more))
-
-    # from nodes back to all copies
-    named = save(nodes.select("print", "id").join(own, "id", "left").select("print", F.coalesce("component", "id").alias("component")), "named")
-    drop(members, ids, sets, links, more)
+    more = save(missed_links(members, ids, sets, own.select("id", "component"), percent), "links")
+    joined = components(more)
+
+    # from nodes back to all copies: a node's component, and what that one was joined to
+    first = nodes.select("print", "id").join(own.select("id", "component"), "id", "left").select("print", F.coalesce("component", "id").alias("first"))
+    again = joined.select(F.col("id").alias("first"), "component")
+    named = save(first.join(again, "first", "left").select("print", F.coalesce("component", "first").alias("component")), "named")
+    drop(members, ids, sets, links, own, more, joined)
     same = rows.select("doc_id", "n_shingles", "print")
     linked = same.where("print is not null and doc_id is not null").join(named, "print").select("doc_id", "n_shingles", "component")
     alone = same.where("print is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
