@@ -145,8 +145,12 @@ def ascii_lower(text: Column) -> Column:
 
 
 def fnv1a64_hex(data: Column, offset: str = "14695981039346656037") -> Column:
-    """64-bit FNV-1a of a text's bytes, by decimal arithmetic on the two halves."""
-    codes = F.transform(F.filter(F.split(F.hex(F.encode(data, "UTF-8")), "(?<=\\G..)"), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("bigint"))
+    """64-bit FNV-1a of a text's bytes, as 16 hex digits."""
+    return fnv1a64_of(F.transform(F.filter(F.split(F.hex(F.encode(data, "UTF-8")), "(?<=\\G..)"), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("bigint")), offset)
+
+
+def fnv1a64_of(codes: Column, offset: str = "14695981039346656037") -> Column:
+    """64-bit FNV-1a of an array of bytes given as numbers, by decimal arithmetic on the two halves."""
     high, low = int(offset) >> 32, int(offset) & 0xFFFFFFFF
     start = F.struct(F.lit(high).cast("bigint").alias("h"), F.lit(low).cast("bigint").alias("l"))
     # prime = 2^40 + 0x1b3: low * 0x1b3 stays below 2^42, and low << 8 goes to the high half
@@ -160,6 +164,28 @@ def fnv1a64_hex(data: Column, offset: str = "14695981039346656037") -> Column:
     return F.aggregate(codes, start, step, lambda s: F.concat(F.lpad(F.lower(F.hex(s["h"])), 8, "0"), F.lpad(F.lower(F.hex(s["l"])), 8, "0")))
 
 
+# Phrases of relative time in the order they are looked for, and days from the anchor.
+PHRASES = [
+    ("前天", -2), ("昨天", -1), ("yesterday", -1), ("今天", 0), ("today", 0), ("上周", -7), ("上星期", -7), ("last week", -7),
+    ("上个月", -30), ("last month", -30), ("几个月前", -90), ("a few months ago", -90), ("去年", -365), ("last year", -365),
+]
+
+
+def relative_time(text: Column, anchor: Column) -> Column:
+    """The time that a phrase names, in seconds, relative to an anchor; 0 where a text has none.  ASCII case does not count."""
+    return first_phrase(ascii_lower(text), [(phrase, days * 86400) for phrase, days in PHRASES], anchor)
+
+
+def url_parameters(query: Column) -> Column:
+    """The parameters of a URL query as a map of decoded text; plus signs are blanks, and the last of a name holds."""
+    pairs = F.filter(F.split(query, "&"), lambda p: p != "")
+    part = lambda p, i: F.try_url_decode(F.get(F.split(p, "=", 2), F.lit(i)))
+    named = F.transform(pairs, lambda p: F.struct(part(p, 0).alias("key"), F.coalesce(part(p, 1), F.lit("")).alias("value")))
+    kept = F.filter(named, lambda p: p["key"].isNotNull())
+    last = F.filter(kept, lambda p, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(last)
+
+
 def first_phrase(text: Column, phrases: list[tuple[str, int]], anchor: Column) -> Column:
     """The time of the first listed phrase that a text contains, relative to an anchor; 0 without one."""
     out = reduce(lambda c, p: (c.when if c is not None else F.when)(text.contains(p[0]), anchor + p[1]), phrases, None)

@@ -71,11 +71,13 @@ def anchors_near(a: Column, b: Column, k: int = 1) -> Column:
 def candidates(probes: DataFrame, known: DataFrame, k: int = 1, span: int = 1) -> DataFrame:
     """Blocking: known profiles of a level within `span` buckets and near anchors, of the first level that has any.
 
-    The bucket range becomes 2 * span + 1 equal keys, so the join is an equi join.
+    The bucket range becomes 2 * span + 1 equal keys, and near anchors (k is 1 at
+    least) have their first segment in common, so the join has both as keys.
     """
-    spread = probes.withColumn("bucket_key", F.explode(F.sequence(F.col("bucket") - span, F.col("bucket") + span)))
-    other = known.select(F.col("profile").alias("candidate"), F.col("anchor").alias("other_anchor"), F.col("bucket").alias("bucket_key"), "level")
-    near = spread.join(other, "bucket_key").where((F.col("profile") != F.col("candidate")) & anchors_near(F.col("anchor"), F.col("other_anchor"), k))
+    top = lambda anchor: F.split(anchor, "/", 2)[0]
+    spread = probes.withColumn("bucket_key", F.explode(F.sequence(F.col("bucket") - span, F.col("bucket") + span))).withColumn("top_key", top(F.col("anchor")))
+    other = known.select(F.col("profile").alias("candidate"), F.col("anchor").alias("other_anchor"), F.col("bucket").alias("bucket_key"), top(F.col("anchor")).alias("top_key"), "level")
+    near = spread.join(other, ["bucket_key", "top_key"]).where((F.col("profile") != F.col("candidate")) & anchors_near(F.col("anchor"), F.col("other_anchor"), k))
     first = F.min("level").over(W.partitionBy("profile"))
     return near.withColumn("_first", first).where("level = _first").select("profile", "candidate", "level")
 

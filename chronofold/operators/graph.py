@@ -6,31 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronofold.sources.scratch import written
+
 #: Relation types that are read in both directions.
 UNDIRECTED = ("SIMILAR", "OPPOSITE", "CO_OCCURS", "RELATED")
 
 
-def ancestors(edges: DataFrame, most: int = 16) -> DataFrame:
+def ancestors(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, ancestor, depth) for all nodes of child -> parent edges, with the least depth.
 
     Each round joins the frontier with the edges and drops what is known, so
-    cycles end; rounds stop when nothing new is found.
+    cycles end; rounds stop when nothing new is found, or at `most` steps if asked.
+    Every round is written, so plans stay as short as one round.
     """
-    step = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct()
+    step = written(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct(), "edges")
     known = step.withColumn("depth", F.lit(1))
-    frontier, up = known, step.select(F.col("node").alias("via"), F.col("ancestor").alias("next"))
-    for depth in range(2, most + 1):
+    frontier, up, depth = known, step.select(F.col("node").alias("via"), F.col("ancestor").alias("next")), 1
+    while most is None or depth < most:
+        depth += 1
         found = frontier.join(up, F.col("ancestor") == F.col("via")).where("node <> next").select("node", F.col("next").alias("ancestor")).distinct()
-        # kept for the test below and the next round; lost parts are computed again
-        fresh = found.join(known, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)).persist()
-        if fresh.isEmpty():
+        frontier = written(found.join(known, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
+        if frontier.isEmpty():
             break
-        known, frontier = known.unionByName(fresh), fresh
+        known = known.unionByName(frontier)
     return known
 
 
-def ancestors_sql(spark, edges: DataFrame, name: str = "edges_", most: int = 16) -> DataFrame:
-    """The same as one recursive query."""
+def ancestors_sql(spark, edges: DataFrame, name: str = "edges_", most: int = 100) -> DataFrame:
+    """The same as one recursive query, which needs a limit of its own."""
     edges.createOrReplaceTempView(name)
     return spark.sql(f"""
         WITH RECURSIVE up(node, ancestor, depth) AS (
@@ -39,23 +42,32 @@ def ancestors_sql(spark, edges: DataFrame, name: str = "edges_", most: int = 16)
         SELECT node, ancestor, min(depth) AS depth FROM up GROUP BY node, ancestor""")
 
 
-def descendants(edges: DataFrame, root: str, most: int = 16) -> DataFrame:
-    """(node, depth) below a root."""
+def descendants(edges: DataFrame, root: str, most: int | None = None) -> DataFrame:
+    """(node, depth) below a root, as deep as it goes or to `most` steps."""
     frontier = known = edges.where(F.col("parent") == root).select(F.col("child").alias("node")).distinct().withColumn("depth", F.lit(1))
-    for depth in range(2, most + 1):
-        fresh = edges.join(frontier.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node")).distinct().join(known, "node", "left_anti").withColumn("depth", F.lit(depth)).persist()
-        if fresh.isEmpty():
+    depth = 1
+    while most is None or depth < most:
+        depth += 1
+        below = edges.join(frontier.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node")).distinct()
+        frontier = written(below.join(known, "node", "left_anti").withColumn("depth", F.lit(depth)), "descent")
+        if frontier.isEmpty():
             break
-        known, frontier = known.unionByName(fresh), fresh
+        known = known.unionByName(frontier)
     return known
 
 
-def paths(edges: DataFrame, most: int = 8) -> DataFrame:
-    """(node, ancestor, path): the shortest chain of edges upward, ties by the least path."""
+def paths(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, ancestor, path): the shortest chain of edges upward, ties by the least path.
+
+    A round keeps the least chain to each ancestor that no shorter one reached.
+    """
     rows = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.array("child", "parent").alias("path")).distinct()
-    out = rows
-    for _ in range(most - 1):
-        rows = rows.join(edges, F.col("ancestor") == F.col("child")).where(~F.array_contains("path", F.col("parent"))).select("node", F.col("parent").alias("ancestor"), F.concat("path", F.array("parent")).alias("path"))
+    out, length = rows, 1
+    while most is None or length < most:
+        length += 1
+        longer = rows.join(edges, F.col("ancestor") == F.col("child")).where(~F.array_contains("path", F.col("parent"))).select("node", F.col("parent").alias("ancestor"), F.concat("path", F.array("parent")).alias("path"))
+        best = longer.groupBy("node", "ancestor").agg(F.min("path").alias("path"))
+        rows = written(best.join(out.select("node", "ancestor").distinct(), ["node", "ancestor"], "left_anti"), "paths")
         if rows.isEmpty():
             break
         out = out.unionByName(rows)
@@ -93,11 +105,22 @@ def accumulate_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst", "type").agg(F.sum("weight").alias("weight"))
 
 
+#: Members of a group that one task compares with all others of it.
+PAIR_MEMBERS = 2_000
+
+
 def co_occurrence(members: DataFrame, group: str, item: str, least: int = 3) -> DataFrame:
-    """Unordered pairs of items within a group: a, b, weight and whether the weight is settled (>= least)."""
-    a = members.select(group, F.col(item).alias("a")).distinct()
-    b = members.select(group, F.col(item).alias("b")).distinct()
-    counted = a.join(b, group).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+    """Unordered pairs of items within a group: a, b, weight and whether the weight is settled (>= least).
+
+    A group of many members is cut: each part of it meets a copy of the whole, so
+    its pairs are made by as many tasks as it has parts.
+    """
+    each = members.select(group, F.col(item).alias("a")).distinct()
+    parts = each.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / PAIR_MEMBERS).cast("int").alias("_parts"))
+    sized = each.join(parts, group)
+    left = sized.select(group, "a", F.pmod(F.xxhash64("a"), F.col("_parts")).cast("int").alias("_part"))
+    right = sized.select(group, F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    counted = left.join(right, [group, "_part"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
     return counted.withColumn("settled", F.col("weight") >= least)
 
 
@@ -121,7 +144,7 @@ def diffuse(edges: DataFrame, seeds: DataFrame, coefficients: dict[str, float],
     done = seeds.select("node")
     for h in range(min(3, max(2, depth))):
         if beam is not None:
-            frontier = frontier.withColumn("_n", F.row_number().over(W.orderBy(F.desc("energy"), "node"))).where(F.col("_n") <= beam).drop("_n")
+            frontier = frontier.orderBy(F.desc("energy"), "node").limit(beam)
         passed = frontier.join(links, "node").select(F.col("dst").alias("node"), (F.col("energy") * F.col("share") * (h + 1) / (h + 2)).alias("energy")).where(F.col("energy") >= prune)
         gathered = passed.groupBy("node").agg(F.sum("energy").alias("energy"))
         total = total.unionByName(gathered)
@@ -139,13 +162,14 @@ def infer(facts: DataFrame, closure: DataFrame, rules: DataFrame, depth: int = 3
     its most confident chain (ties: least path).
     """
     up = closure.select(F.col("node").alias("concept"), F.col("ancestor").alias("antecedent")).unionByName(rules.select(F.col("antecedent").alias("concept"), "antecedent").distinct())
-    applicable = up.join(rules.withColumnRenamed("confidence", "strength"), "antecedent").select("concept", "relation", "consequent", "strength").distinct().persist()
+    applicable = up.join(rules.withColumnRenamed("confidence", "strength"), "antecedent").select("concept", "relation", "consequent", "strength").distinct()
+    applicable = written(applicable, "rules")
     frontier = facts.select("subject", "concept", "confidence", F.array("concept").alias("path"))
     fired, out = frontier.select("subject", "concept"), None
     for step in range(1, depth + 1):
         made = frontier.join(applicable, "concept").select("subject", F.col("consequent").alias("concept"), "relation", (F.col("confidence") * F.col("strength")).alias("confidence"), F.concat("path", F.array("consequent")).alias("path"))
         best = made.groupBy("subject", "concept").agg(F.max_by(F.struct("relation", "confidence", "path"), F.struct(F.col("confidence"), -F.size("path"))).alias("b"))
-        fresh = best.join(fired, ["subject", "concept"], "left_anti").select("subject", "concept", "b.*").withColumn("depth", F.lit(step)).persist()
+        fresh = written(best.join(fired, ["subject", "concept"], "left_anti").select("subject", "concept", "b.*").withColumn("depth", F.lit(step)), "inferred")
         out = fresh if out is None else out.unionByName(fresh)
         frontier = fresh.select("subject", "concept", "confidence", "path")
         fired = fired.unionByName(fresh.select("subject", "concept"))

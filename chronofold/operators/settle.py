@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofold.sources.scratch import written
+
 #: Rounds of triggers after the first settlement.
 CASCADE = 4
 
@@ -46,7 +48,7 @@ def validate(candidates: DataFrame, attributes: DataFrame, types: DataFrame) ->
     """
     a = attributes.select(F.col("key"), F.col("status").alias("a_status"), "writers", F.col("range"), "datatype")
     t = types.select(F.col("type"), F.col("status").alias("t_status"), "min_trust", "multi_target", "required")
-    rows = candidates.join(F.broadcast(a), "key", "left").join(F.broadcast(t), "type", "left")
+    rows = candidates.join(a, "key", "left").join(t, "type", "left")
     writes = F.col("entity").isNotNull()
     l0 = F.when(writes & (F.col("a_status").isNull() | (F.col("a_status") != "active")), F.concat(F.lit("unregistered "), "key"))
     no_type = F.col("t_status").isNull() | (F.col("t_status") != "active")
@@ -83,11 +85,12 @@ def cascade(events: DataFrame, triggers: list, depth: int = CASCADE) -> DataFram
     """Events with those that triggers emit, round by round: adds `round`.
 
     A trigger is a function DataFrame -> DataFrame of emitted events with the
-    same columns; a round without events ends the cascade.
+    same columns; a round without events ends the cascade.  Each round is written,
+    so triggers and the result read it and never the rounds before it.
     """
     out = current = events.withColumn("round", F.lit(0))
     for number in range(1, depth + 1):
-        emitted = reduce(DataFrame.unionByName, [t(current.drop("round")) for t in triggers]).withColumn("round", F.lit(number))
+        emitted = written(reduce(DataFrame.unionByName, [t(current.drop("round")) for t in triggers]).withColumn("round", F.lit(number)), "cascade")
         if emitted.isEmpty():
             break
         out, current = out.unionByName(emitted), emitted

@@ -163,7 +163,31 @@ def suspects(blocks: DataFrame, ground: list[str], empty: list[str], size: float
     return blocks.select("id").join(bad, "id", "left").select("id", F.coalesce("suspect", F.lit(False)).alias("suspect"))
 
 
+#: Ranges that a cut is looked for in at once, and rows that the last range may hold.
+RANGES, LAST_RANGE = 1_000, 100_000
+
+
 def evict(blocks: DataFrame, accesses: DataFrame, capacity: int) -> DataFrame:
-    """The `capacity` blocks of latest access (ties: greater id), by accesses (id, at)."""
-    last = accesses.groupBy("id").agg(F.max("at").alias("at"))
-    return blocks.join(last, "id").orderBy(F.desc("at"), F.desc("id")).limit(capacity).drop("at")
+    """The `capacity` blocks of latest access (ties: greater id), by accesses (id, at).
+
+    Counts per range of access times say which range the cut lies in; the range is
+    narrowed until few rows, or one time, are left, and only those are sorted.
+    """
+    last = blocks.select("id").join(accesses.groupBy("id").agg(F.max("at").alias("at")), "id")
+    low, high = last.agg(F.min("at"), F.max("at")).first()
+    rest = capacity
+    while low is not None and low < high:
+        width = max(1, -(-(high - low + 1) // RANGES))
+        counts = {r[0]: r[1] for r in last.where(F.col("at").between(low, high)).groupBy(F.floor((F.col("at") - low) / width)).count().collect()}
+        place = max(counts)
+        for place in sorted(counts, reverse=True):
+            if rest <= counts[place]:
+                break
+            rest -= counts[place]
+        low, high = low + place * width, min(high, low + (place + 1) * width - 1)
+        if counts[place] <= LAST_RANGE:
+            break
+    if low is None:
+        return blocks.limit(0)
+    edge = last.where(F.col("at").between(low, high)).orderBy(F.desc("at"), F.desc("id")).limit(max(rest, 0))
+    return blocks.join(last.where(F.col("at") > high).unionByName(edge).select("id"), "id", "left_semi")

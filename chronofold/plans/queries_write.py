@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronofold.functions import embedding, frames
@@ -56,7 +57,9 @@ def definitions_current(spark, d):
 
 @q()
 def stateful_arbitration(spark, d):
-    rows = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("t"), F.col("event_id").alias("seq"), F.when(F.col("value") < 30, "").when(F.col("value") < 60, "empty").otherwise("full").alias("payload"), (F.col("event_id") % 4).alias("source"))
+    # the third event of a user places the block, so the first two find none
+    place = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) == 3
+    rows = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("t"), F.col("event_id").alias("seq"), F.when(F.col("value") < 30, "").when(F.col("value") < 60, "empty").otherwise("full").alias("payload"), (F.col("event_id") % 4).alias("source"), place.alias("put"))
     return stateful.run_batch(rows, "id", ["t", "seq"], stateful.arbitration_step(2.0, 500, {0: 1.0, 1: 0.8, 2: 0.4}), stateful.ARBITRATED)
 
 

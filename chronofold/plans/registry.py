@@ -36,16 +36,17 @@ class Registry:
 def commands(lines: Iterable[str], tools: dict[str, Callable[..., DataFrame]], vql: Callable[[str], DataFrame], most: int = 1000) -> Iterator[str]:
     """Answers JSON lines {"cmd": "schemas" | "vql" | "call", ...} with JSON lines; errors are answers too.
 
-    At most `most` rows of a result are brought to the reader.
+    At most `most` rows of a result are brought to the reader; `more` says whether there are others.
     """
     for line in lines:
         try:
-            asked = json.loads(line)
+            asked, more = json.loads(line), False
             if asked["cmd"] == "schemas":
                 answer = {name: list(inspect.signature(f).parameters) for name, f in tools.items()}
             else:
                 made = vql(asked["text"]) if asked["cmd"] == "vql" else tools[asked["name"]](**asked.get("args", {}))
-                answer = [json.loads(x) for x in made.limit(most).toJSON().collect()]
-            yield json.dumps({"ok": True, "result": answer})
+                answer = [json.loads(x) for x in made.limit(most + 1).toJSON().collect()]
+                answer, more = answer[:most], len(answer) > most
+            yield json.dumps({"ok": True, "result": answer} | ({"more": True} if more else {}))
         except Exception as e:  # a bad command must not end the reader
             yield json.dumps({"ok": False, "error": str(e)[:300]})

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.functions.scalars import space_kind
 from chronofold.operators import spatial
 from chronofold.plans import vql
+from chronofold.session import ship
 
 #: Keys of a payload that are no attributes.
 SYSTEM_KEYS = ("type", "id", "actor", "space", "occur_time", "evidence", "corrects", "idempotency_key", "writes")
@@ -58,6 +60,29 @@ def digest(folded: DataFrame, value: Column) -> DataFrame:
     return folded.agg(F.count(F.lit(1)).alias("cells"), F.sum(F.pmod(a, F.lit(1 << 40))).alias("a"), F.sum(b.cast("bigint")).alias("b"))
 
 
+def ordered_digest(folded: DataFrame, value: Column) -> DataFrame:
+    """One row (cells, digest): 64-bit FNV-1a over the cells in the order of entity and key.
+
+    Fields are entity, key, value text and source_event, each followed by 0x1f, the
+    last by 0x1e.  Every byte depends on all before it, so one task reads the sorted
+    cells, in batches and holding nothing but the hash; it is a check of two
+    projections, not a step of any query.
+    """
+    ship(folded.sparkSession)
+
+    def run(batches):
+        digest, cells = 14695981039346656037, 0
+        for batch in batches:
+            for fields in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for byte in ("\x1f".join(fields) + "\x1e").encode():
+                    digest = (digest ^ byte) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
+                cells += 1
+        yield pa.RecordBatch.from_pydict({"cells": pa.array([cells], pa.int64()), "digest": [f"{digest:016x}"]})
+
+    ordered = folded.select("entity", "key", F.coalesce(value, F.lit("null")).alias("value"), F.col("source_event").cast("string").alias("source_event")).orderBy("entity", "key")
+    return ordered.coalesce(1).mapInArrow(run, "cells bigint, digest string")
+
+
 def tools(blocks: DataFrame, versions: DataFrame, tracks: DataFrame, levels: int = 1) -> dict[str, Callable[..., DataFrame]]:
     """Named functions over the block tables, each returning a DataFrame."""
     area = lambda region: "REGION(" + ",".join(map(str, region)) + ")"

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from chronofold.operators.settlement import fold_sorted
 from chronofold.operators.signals import filter_step
 from chronofold.session import ship
 
@@ -30,14 +31,8 @@ def _fold(step: Step, state, frame: pd.DataFrame, order: list[str]) -> tuple[obj
 
 
 def run_batch(rows: DataFrame, key: str, order: list[str], step: Step, schema: str) -> DataFrame:
-    """All rows of a key folded at once; the output is what the steps emit."""
-    ship(rows.sparkSession)
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_fold(step, None, frame, order)[1], columns=names)
-
-    return rows.groupBy(key).applyInPandas(run, schema)
+    """All rows of each key in order; tasks read them sorted, in batches, and hold one key's state at a time."""
+    return fold_sorted(rows, key, order, lambda: None, step, schema)
 
 
 def run_stream(rows: DataFrame, key: str, order: list[str], step: Step, schema: str) -> DataFrame:
@@ -68,8 +63,9 @@ def edge_step(on: float, off: float, dwell: int, dedup: int) -> Step:
 def arbitration_step(threshold: float, window: int, reliability: dict[int, float], default: float = 0.5, pattern: dict | None = None) -> Step:
     """Classifies observations (id, t, payload, source) of a block and decides on changes by weight.
 
-    The block starts Pending with its first payload.  A candidate opens a window;
-    it takes effect once the weights of observations for it reach the threshold,
+    A row with `put` places the block, Pending with its payload; an observation of a
+    block that is not there is not accepted and changes nothing.  A candidate opens a
+    window; it takes effect once the weights of observations for it reach the threshold,
     lapses when the window is over (strictly more than `window` after its start)
     or the old value is seen again.  pattern maps phases of a period to expected
     payloads: {"period": p, "phases": [[offset, duration, payload], ...]}.
@@ -79,11 +75,11 @@ def arbitration_step(threshold: float, window: int, reliability: dict[int, float
     def step(block, row):
         t, seen, weight = int(row["t"]), row["payload"], reliability.get(int(row["source"]), default)
         made = lambda kind, accepted: [(row["id"], t, kind, accepted, block["state"], block["payload"], block["version"])]
+        if row.get("put"):
+            block = {"payload": seen, "state": "Pending", "version": 1, "weight": 0.0, "candidate": None, "since": -1, "for": 0.0}
+            return block, made("Put", True)
         if block is None:
-            block = {"payload": seen, "state": "Pending", "version": 1, "weight": weight, "candidate": None, "since": -1, "for": 0.0}
-            if weight >= threshold:
-                block["state"] = "Stable"
-            return block, made("Emergence", True)
+            return None, [(row["id"], t, "Vanishing" if seen == "" else "Emergence", False, None, None, None)]
         block = dict(block)
         if block["candidate"] is not None and t - block["since"] > window:
             block |= {"state": "Stable", "candidate": None, "since": -1, "for": 0.0}
@@ -105,6 +101,7 @@ def arbitration_step(threshold: float, window: int, reliability: dict[int, float
             if seen != block["candidate"]:
                 return block, made("Conflict", False)
             block["for"] += weight
+            kind = kind if block["for"] >= threshold or seen == "" else "Mutation"
         elif block["state"] != "Stable":
             return block, made("Conflict", False)
         else:

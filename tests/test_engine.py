@@ -134,11 +134,20 @@ def test_noise_gives_two_edges():
 
 def test_arbitration():
     step, block, kinds = stateful.arbitration_step(2.0, 5000, {1: 1.0, 9: 2.5}), None, []
+    # what is observed before the block is placed changes nothing
+    for t, payload, kind in ((-3, "a", "Emergence"), (-2, "", "Vanishing")):
+        block, out = step(block, {"id": 1, "t": t, "payload": payload, "source": 9})
+        assert block is None and out[0][2:4] == (kind, False)
+    block, out = step(block, {"id": 1, "t": -1, "payload": "a", "source": 9, "put": True})
+    assert out[0][2:] == ("Put", True, "Pending", "a", 1)
     for t, payload, source in ((0, "a", 9), (10, "b", 1), (20, "a", 1), (30, "b", 1), (40, "c", 1), (50, "b", 1), (60, "", 9), (70, "x", 1), (9000, "x", 1)):
         block, out = step(block, {"id": 1, "t": t, "payload": payload, "source": source})
         kinds.append(out[0][2:4])
-    assert kinds == [("Emergence", True), ("Mutation", False), ("Transient", True), ("Mutation", False), ("Conflict", False), ("Mutation", True), ("Vanishing", True), ("Emergence", False), ("Emergence", False)]
+    assert kinds == [("Transient", True), ("Mutation", False), ("Transient", True), ("Mutation", False), ("Conflict", False), ("Mutation", True), ("Vanishing", True), ("Emergence", False), ("Emergence", False)]
     assert (block["payload"], block["state"], block["version"]) == ("", "Changing", 3)
+    # a candidate that is not there yet is a mutation of an empty block as well
+    low = stateful.arbitration_step(9.0, 5000, {1: 1.0})
+    assert low(block, {"id": 1, "t": 9100, "payload": "x", "source": 1})[1][0][2:4] == ("Mutation", False)
 
 
 def test_stream_equals_batch(spark, tmp_path):
