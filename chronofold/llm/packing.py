@@ -143,6 +143,7 @@ def cut_documents(docs: DataFrame, path: str | None = None, size: int = SEQUENCE
             columns = zip(*out, strict=True) if out else [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        own.stretches.clear()  # the worker lives on; words, far fewer, are kept for its next task
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(run, PIECES)
 
