@@ -199,14 +199,20 @@ def _flat(forest: list) -> tuple[list[int], list[float], list[float]]:
     return feature, edge, leaf
 
 
-def compiled(forest: list, values: Column) -> Column:
+def nodes_of(forest: list) -> Column:
+    """The forest as a struct of arrays, for `compiled`: made once where many candidates are judged."""
+    feature, edge, leaf = (F.lit(x) for x in _flat(forest))
+    return F.struct(feature.alias("feature"), edge.alias("edge"), leaf.alias("leaf"))
+
+
+def compiled(forest: list, values: Column, nodes: Column | None = None) -> Column:
     """The same as `vote` as a column over an array of feature values: a walk down each tree by number."""
     inner, leaves = 2**DEPTH - 1, 2**DEPTH
-    feature, edge, leaf = (F.lit(x) for x in _flat(forest))
+    nodes = nodes_of(forest) if nodes is None else nodes
 
     def walk(tree: Column) -> Column:
-        down = lambda n, _: 2 * n + 1 + F.when(F.get(values, F.get(feature, tree * inner + n)) < F.get(edge, tree * inner + n), 0).otherwise(1)
-        return F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), F.lit(0), down, lambda n: F.get(leaf, tree * leaves + n - inner))
+        down = lambda n, _: 2 * n + 1 + F.when(F.get(values, F.get(nodes["feature"], tree * inner + n)) < F.get(nodes["edge"], tree * inner + n), 0).otherwise(1)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), F.lit(0), down, lambda n: F.get(nodes["leaf"], tree * leaves + n - inner))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(forest) - 1)), F.lit(0.0), lambda total, tree: total + walk(tree)) / len(forest)
 
@@ -216,7 +222,7 @@ def scanned(docs: DataFrame, forest: list, text: str = "text", threshold: float
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(docs[text], F.lit("")).alias("t"))
     rows = rows.select("row", "t", found(F.col("t"), CANDIDATE).alias("c"))
 
-    def scored(parts: Column, s: Column) -> Column:
+    def scored(parts: Column, nodes: Column, s: Column) -> Column:
         begin = F.greatest(s["start"] - BEFORE, F.lit(0))
         near = F.struct(cut(parts, begin, s["start"] - begin).alias("before"), cut(parts, s["end"], F.lit(AFTER)).alias("after"))
 
@@ -224,9 +230,9 @@ def scanned(docs: DataFrame, forest: list, text: str = "text", threshold: float
             made = features(x["before"], s["value"], x["after"])
             return F.array(*[made[name] for name in FEATURES])
 
-        return let(let(near, values), lambda m: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), compiled(forest, m).alias("score")))
+        return let(let(near, values), lambda m: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), compiled(forest, m, nodes).alias("score")))
 
-    judged = let(parts_of(F.col("t")), lambda parts: F.transform("c", lambda s: scored(parts, s)))
+    judged = let(F.struct(parts_of(F.col("t")).alias("parts"), nodes_of(forest).alias("nodes")), lambda x: F.transform("c", lambda s: scored(x["parts"], x["nodes"], s)))
     rows = rows.select("row", "t", "c", F.when(F.size("c") > 0, judged).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string,score:double>>")).alias("scored"))
     return rows.select("row", "t", F.size("c").cast("bigint").alias("n_candidates"), F.filter("scored", lambda s: s["score"] >= threshold).alias("secrets"))
 
