@@ -30,7 +30,7 @@ from chronofold.llm.common import small_batches, text_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces whose ids a Python worker remembers; then it starts anew.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 1_000_000
 #: Longest piece that is remembered; longer ones are encoded each time.
 CACHED_LENGTH = 64
 #: White space besides space and line feed; texts with it are cut by the pattern alone.
