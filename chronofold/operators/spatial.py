@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronofold.sources.scratch import written
+
 AXES = "xyz"
+BOX = [f"{side}_{axis}" for side in ("min", "max") for axis in AXES]
+#: Rows of a written table that are broadcast at most; beyond, it is joined by a shuffle.
+BROADCAST = 100_000
 
 
 def intersects(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -66,10 +71,38 @@ def grid_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, si
     return a.join(b, "cell").where(intersects(box_of(a, "a_"), box_of(b, "b_")) & own).select("left_id", "right_id")
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+def shapes(blocks: DataFrame, *flags: str) -> DataFrame:
+    """The distinct boxes (and flags) of blocks, written: shape, box, flags, least and greatest id (lo, hi).
+
+    Blocks of one box meet the same boxes, so what is asked of boxes is asked once
+    for all their copies and joined back by the box.
+    """
+    groups = blocks.groupBy(*BOX, *flags).agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    return written(groups.withColumn("shape", F.monotonically_increasing_id()), "shapes")
+
+
 def occupants(blocks: DataFrame, instances: DataFrame, size: float) -> DataFrame:
-    """Instances whose boxes meet each block: id, instances (sorted)."""
-    pairs = grid_join(blocks, instances, "id", "id", size)
-    return pairs.groupBy(F.col("left_id").alias("id")).agg(F.sort_array(F.collect_set("right_id")).alias("instances"))
+    """Instances whose boxes meet each block: id, instances (sorted).
+
+    The instances are gathered once for each distinct box and joined to its blocks,
+    so no pairs of blocks and instances are moved.  An id that has several boxes
+    gets the instances of all of them.
+    """
+    boxes = shapes(blocks)
+    met = grid_join(boxes, instances, "shape", "id", size).groupBy(F.col("left_id").alias("shape")).agg(F.sort_array(F.collect_set("right_id")).alias("instances"))
+    each = blocks.select("id", *BOX).join(counted(boxes.select("shape", *BOX)), BOX).select("id", "shape")
+    owners = written(each.groupBy("id").agg(F.min("shape").alias("shape"), F.max("shape").alias("last")), "owners")
+    out = owners.where("shape = last").join(met, "shape").select("id", "instances")
+    several = owners.where("shape <> last").select(F.col("id").alias("of"))
+    if several.isEmpty():
+        return out
+    parts = each.join(several, F.col("id").eqNullSafe(F.col("of")), "left_semi").distinct().join(met, "shape").select("id", F.explode("instances").alias("instance"))
+    return out.unionByName(parts.groupBy("id").agg(F.sort_array(F.collect_set("instance")).alias("instances")))
 
 
 def centre(box: dict[str, Column]) -> dict[str, Column]:
