@@ -10,7 +10,7 @@ from chronofold.sources.scratch import written
 
 AXES = "xyz"
 BOX = [f"{side}_{axis}" for side in ("min", "max") for axis in AXES]
-#: Rows of a written table that are broadcast at most; beyond, it is joined by a shuffle.
+#: Rows of a table that are broadcast at most; beyond, it is joined by a shuffle.
 BROADCAST = 100_000
 
 
@@ -71,9 +71,16 @@ def grid_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, si
     return a.join(b, "cell").where(intersects(box_of(a, "a_"), box_of(b, "b_")) & own).select("left_id", "right_id")
 
 
-def counted(df: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST else df
+def spread(df: DataFrame, size: float, prefix: str = "") -> DataFrame:
+    """A row for each grid cell that a box covers: adds cx, cy, cz; null boxes cover none."""
+    for axis in AXES:
+        df = df.withColumn(f"c{axis}", F.explode(F.sequence(F.floor(F.col(f"{prefix}min_{axis}") / size), F.floor(F.col(f"{prefix}max_{axis}") / size))))
+    return df
+
+
+def counted(df: DataFrame, most: int | None = None) -> DataFrame:
+    """A table that is cheap to count, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= (BROADCAST if most is None else most) else df
 
 
 def shapes(blocks: DataFrame, *flags: str) -> DataFrame:

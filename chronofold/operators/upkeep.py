@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 
 from chronofold.operators import signals, spatial
 from chronofold.sources import records
+from chronofold.sources.scratch import written
 
 RESTING = "Stationary"
+#: Instances of the first slice that observations meet, how much larger each further one is, and rows by cells that are broadcast at most.
+SLICE, GROWTH, SPREAD = 50_000, 8, 500_000
+#: Ids that the bounds of slices are taken from, about; all instances are met whatever the bounds are.
+MARKS = 20_000
 
 
 def sweep(blocks: DataFrame, now: int, window: int) -> DataFrame:
@@ -67,18 +72,49 @@ def all_versions(versions: DataFrame) -> DataFrame:
     return versions.withColumn("place", F.row_number().over(W.partitionBy("block_id").orderBy("version")))
 
 
+def slices(ids: DataFrame, first: int) -> list[Column]:
+    """Conditions that cut a column of ids into ranges, ascending: about `first` rows, then GROWTH times as many each time, then all others."""
+    name, rows = ids.columns[0], ids.count()
+    marks = sorted(r[0] for r in ids.where(F.pmod(F.xxhash64(name), F.lit(max(1, rows // MARKS))) == 0).collect()) if rows > first else []
+    cuts, upto = [], first
+    while upto < rows and marks:
+        cuts.append(marks[min(len(marks) - 1, upto * len(marks) // rows)])
+        upto *= GROWTH
+    cuts = list(dict.fromkeys(cuts))
+    low = [F.lit(True), *[F.col(name) > F.lit(c) for c in cuts]]
+    high = [*[F.col(name) <= F.lit(c) for c in cuts], F.lit(True)]
+    return [x & y for x, y in zip(low, high, strict=True)]
+
+
 def associate(seen: DataFrame, instances: DataFrame, window: int, size: float) -> DataFrame:
     """The instance each observation belongs to, or null: same label, overlapping boxes, and seen within a window.
 
     seen (id, box, label, t), instances (id, box, label, last_seen).  Boxes meet by
-    grid cells, so only neighbours are compared; of several instances the least id
-    wins.
+    grid cells, labels and stretches of time, so only neighbours are compared; of
+    several instances the least id wins.  Instances come in slices of ascending ids,
+    and observations that have found one are through: few are left for the large
+    slices, and no pairs are moved.  Of instances that are alike the least is met.
     """
-    pairs = spatial.grid_join(seen, instances, "id", "instance", size).select(F.col("left_id").alias("id"), F.col("right_id").alias("instance"))
-    left = seen.select("id", F.col("label").alias("_l"), F.col("t").alias("_t"))
-    right = instances.select("instance", F.col("label").alias("_m"), F.col("last_seen").alias("_s"))
-    fits = pairs.join(left, "id").join(right, "instance").where((F.col("_l") == F.col("_m")) & (F.abs(F.col("_t") - F.col("_s")) <= window))
-    return seen.select("id").join(fits.groupBy("id").agg(F.min("instance").alias("instance")), "id", "left")
+    span = 2 * max(window, 0) + 1
+    known = instances.where("instance is not null").select(*[F.col(c).alias(f"b_{c}") for c in spatial.BOX], F.col("label").alias("b_label"), F.col("last_seen").alias("b_t"), "instance")
+    rest, found = seen.select("id", *spatial.BOX, "label", "t"), []
+    near = spatial.intersects(spatial.box_of(seen), spatial.box_of(known, "b_")) & (F.col("label") == F.col("b_label")) & (F.abs(F.col("t") - F.col("b_t")) <= window)
+    for key in ("cx", "cy", "cz", "slot"):
+        near = near & (F.col(key) == F.col(f"b_{key}"))
+    for n, chosen in enumerate(slices(known.select("instance"), SLICE)):
+        part = known.where(chosen).groupBy(*[c for c in known.columns if c != "instance"]).agg(F.min("instance").alias("instance"))
+        part = part if n else written(part, "slice")
+        part = spatial.spread(part.withColumn("slot", F.floor(F.col("b_t") / span)), size, "b_").withColumnsRenamed({c: f"b_{c}" for c in ("cx", "cy", "cz", "slot")})
+        left = spatial.spread(rest.withColumn("slot", F.explode(F.sequence(F.floor((F.col("t") - window) / span), F.floor((F.col("t") + window) / span)))), size)
+        left, part = (spatial.counted(left, SPREAD), part) if n else (left, spatial.counted(part, SPREAD))
+        found.append(written(left.join(part, near).groupBy("id").agg(F.min("instance").alias("instance")), "found"))
+        rest = written(rest.join(found[-1], "id", "left_anti"), "rest")
+        if rest.isEmpty():
+            break
+    out = rest.select("id", F.lit(None).cast(known.schema["instance"].dataType).alias("instance")).distinct()
+    for part in found:
+        out = out.unionByName(part)
+    return out
 
 
 def nearest_in_time(probes: DataFrame, known: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from chronofold.operators import spatial
+from chronofold.operators import spatial, upkeep
 
 COLS = "id long, min_x double, max_x double, min_y double, max_y double, min_z double, max_z double"
 #: Copies of one box; their pairs are a million.
@@ -65,3 +65,34 @@ def test_occupants_is_brute_force(spark, monkeypatch):
         # ids that come twice have the instances of all their boxes
         want = {i: sorted({q[0] for p in a if p[0] == i for q in b if meet(p, q)}) for i in {p[0] for p in a}}
         assert got == {i: x for i, x in want.items() if x}
+
+
+def test_association_of_copies(spark):
+    place = (0.0, 1.0, 0.0, 1.0, 0.0, 1.0)
+    seen = boxes(spark, [(i, *place, "a", 0) for i in range(COPIES)], ", label string, t long")
+    known = boxes(spark, [(i, *place, "a", 3) for i in range(COPIES)], ", label string, last_seen long").withColumnRenamed("id", "instance")
+    got, most = joined(spark, lambda: upkeep.associate(seen, known, 3, 8.0))
+    assert sorted(map(tuple, got)) == [(i, 0) for i in range(COPIES)] and most <= 10 * COPIES
+
+
+def test_association_is_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    with_label = lambda rows: [(*r, rng.choice(["a", "b", None]), rng.randrange(-20, 20)) for r in rows]
+    a, b = with_label(some(rng, [*range(150), *range(20)], 3)), with_label(some(rng, [*range(400), None], 3))
+    seen, known = boxes(spark, a, ", label string, t long"), boxes(spark, b, ", label string, last_seen long").withColumnRenamed("id", "instance")
+    fits = lambda p, q: q[0] is not None and meet(p[:7], q[:7]) and p[7] is not None and p[7] == q[7] and abs(p[8] - q[8]) <= 4
+    want = {i: min((q[0] for p in a if p[0] == i for q in b if fits(p, q)), default=None) for i in range(150)}
+    assert None in want.values() and max(x for x in want.values() if x is not None) > 100
+    for first, most in ((upkeep.SLICE, upkeep.SPREAD), (5, 0), (40, upkeep.SPREAD)):
+        monkeypatch.setattr(upkeep, "SLICE", first)
+        monkeypatch.setattr(upkeep, "SPREAD", most)
+        got = sorted(map(tuple, upkeep.associate(seen, known, 4, 8.0).collect()))
+        assert got == sorted(want.items())
+
+
+def test_slices_hold_every_id_once(spark):
+    ids = spark.range(1_000).select(F.col("id") * 7 % 1_000)
+    cuts = upkeep.slices(ids.toDF("n"), 20)
+    assert len(cuts) == 3
+    assert sorted(r.n for x in cuts for r in ids.toDF("n").where(x).collect()) == list(range(1_000))
+    assert len(upkeep.slices(ids.toDF("n"), 1_000)) == 1
