@@ -93,6 +93,24 @@ def shapes(blocks: DataFrame, *flags: str) -> DataFrame:
     return written(groups.withColumn("shape", F.monotonically_increasing_id()), "shapes")
 
 
+def meeting(left: DataFrame, right: DataFrame, size: float, other: bool = False) -> DataFrame:
+    """The shapes of the left side whose box meets any box of the right, each once; other: by a block of another id.
+
+    A semi join in each cell, which stops at the first box that meets.  The members
+    of a shape are either all on the right side or none, so only a shape of a single
+    block can be left with nothing but itself.
+    """
+    a = left.select("shape", "lo", "hi", *[F.col(c).alias(f"a_{c}") for c in BOX])
+    b = right.select(F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), *[F.col(c).alias(f"b_{c}") for c in BOX])
+    near = spread(b, size, "b_").withColumnsRenamed({f"c{x}": f"b_c{x}" for x in AXES})
+    found = intersects(box_of(a, "a_"), box_of(b, "b_"))
+    for axis in AXES:
+        found = found & (F.col(f"c{axis}") == F.col(f"b_c{axis}"))
+    if other:
+        found = found & ((F.col("lo") != F.col("hi")) | (F.col("b_lo") != F.col("lo")) | (F.col("b_hi") != F.col("lo")))
+    return spread(a, size, "a_").join(near, found, "left_semi").select("shape").distinct()
+
+
 def occupants(blocks: DataFrame, instances: DataFrame, size: float) -> DataFrame:
     """Instances whose boxes meet each block: id, instances (sorted).
 
@@ -187,8 +205,10 @@ def coarse_to_fine(blocks: DataFrame, region, size: float) -> DataFrame:
 def refined(blocks: DataFrame, size: float) -> DataFrame:
     """Coarse blocks (level 0) with whether any finer block meets them."""
     coarse = blocks.where("level = 0")
-    hit = grid_join(coarse, blocks.where("level >= 1"), "id", "id", size).select(F.col("left_id").alias("id"), F.lit(True).alias("hit")).distinct()
-    return coarse.select("id").join(hit, "id", "left").select("id", F.coalesce("hit", F.lit(False)).alias("refined"))
+    boxes = shapes(coarse)
+    hit = boxes.join(meeting(boxes, shapes(blocks.where("level >= 1")), size), "shape", "left_semi")
+    hit = counted(written(hit.select(*BOX, F.lit(True).alias("hit")), "refined"))
+    return coarse.select("id", *BOX).join(hit, BOX, "left").select("id", F.coalesce("hit", F.lit(False)).alias("refined"))
 
 
 def suspects(blocks: DataFrame, ground: list[str], empty: list[str], size: float) -> DataFrame:

@@ -96,3 +96,20 @@ def test_slices_hold_every_id_once(spark):
     assert len(cuts) == 3
     assert sorted(r.n for x in cuts for r in ids.toDF("n").where(x).collect()) == list(range(1_000))
     assert len(upkeep.slices(ids.toDF("n"), 1_000)) == 1
+
+
+def test_refined_of_copies(spark):
+    place = (0.0, 1.0, 0.0, 1.0, 0.0, 1.0)
+    blocks = boxes(spark, [(i, *place, i % 2) for i in range(2 * COPIES)], ", level int")
+    got, most = joined(spark, lambda: spatial.refined(blocks, 8.0))
+    assert sorted(map(tuple, got)) == [(2 * i, True) for i in range(COPIES)] and most <= 5 * COPIES
+
+
+def test_refined_is_brute_force(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(*r, rng.choice([0, 0, 1, 2, None])) for r in some(rng, range(200), 2)]
+    want = [(p[0], any(q[7] and meet(p[:7], q[:7]) for q in rows)) for p in rows if p[7] == 0]
+    assert 10 < sum(x for _, x in want) < len(want) - 10
+    for most in (spatial.BROADCAST, 0):
+        monkeypatch.setattr(spatial, "BROADCAST", most)
+        assert sorted(map(tuple, spatial.refined(boxes(spark, rows, ", level int"), 4.0).collect())) == want
