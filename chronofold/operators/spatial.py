@@ -212,15 +212,21 @@ def refined(blocks: DataFrame, size: float) -> DataFrame:
 
 
 def suspects(blocks: DataFrame, ground: list[str], empty: list[str], size: float) -> DataFrame:
-    """Marks blocks that cannot be: ground with emptiness right above, or a non-ground block with nothing right below."""
+    """Marks blocks that cannot be: ground with emptiness right above, or a non-ground block with nothing right below.
+
+    A null payload is neither ground nor empty; a block without an id meets no other.
+    """
+    kind = lambda payloads: F.coalesce(F.col("payload").isin(payloads), F.lit(False))
+    rows = blocks.select("id", *BOX, kind(ground).alias("ground"), kind(empty).alias("empty"))
+    boxes = shapes(rows.where("id is not null"), "ground", "empty")
     high = F.col("max_z") - F.col("min_z")
-    up = blocks.select("id", "min_x", "max_x", "min_y", "max_y", F.col("max_z").alias("min_z"), (F.col("max_z") + high).alias("max_z"), "payload")
-    down = blocks.select("id", "min_x", "max_x", "min_y", "max_y", (F.col("min_z") - high).alias("min_z"), F.col("min_z").alias("max_z"), "payload")
-    above = grid_join(up.where(F.col("payload").isin(ground)), blocks.where(F.col("payload").isin(empty)), "id", "id", size).where("left_id <> right_id").select(F.col("left_id").alias("id")).distinct()
-    below = grid_join(down, blocks, "id", "id", size).where("left_id <> right_id").select(F.col("left_id").alias("id")).distinct()
-    floating = blocks.where(~F.col("payload").isin(ground)).join(below, "id", "left_anti").select("id")
-    bad = above.union(floating).distinct().withColumn("suspect", F.lit(True))
-    return blocks.select("id").join(bad, "id", "left").select("id", F.coalesce("suspect", F.lit(False)).alias("suspect"))
+    up = boxes.where("ground").withColumns({"min_z": F.col("max_z"), "max_z": F.col("max_z") + high})
+    down = boxes.where("not ground").withColumns({"min_z": F.col("min_z") - high, "max_z": F.col("min_z")})
+    found = meeting(up, boxes.where("empty"), size, True).union(meeting(down, boxes, size, True))
+    keys = [*BOX, "ground", "empty"]
+    hit = counted(written(boxes.join(found, "shape", "left_semi").select(*keys, F.lit(True).alias("hit")), "suspects"))
+    met = F.coalesce("hit", F.lit(False)) & F.col("id").isNotNull()
+    return rows.join(hit, keys, "left").select("id", (F.col("ground") == met).alias("suspect"))
 
 
 #: Ranges that a cut is looked for in at once, and rows that the last range may hold.

@@ -113,3 +113,29 @@ def test_refined_is_brute_force(spark, monkeypatch):
     for most in (spatial.BROADCAST, 0):
         monkeypatch.setattr(spatial, "BROADCAST", most)
         assert sorted(map(tuple, spatial.refined(boxes(spark, rows, ", level int"), 4.0).collect())) == want
+
+
+def test_suspects_of_copies(spark):
+    low = [(i, 0.0, 1.0, 0.0, 1.0, 0.0, 1.0, "stone") for i in range(COPIES)]
+    high = [(COPIES + i, 0.0, 1.0, 0.0, 1.0, 1.0, 2.0, "") for i in range(COPIES)]
+    ground = [(2 * COPIES + i, 0.0, 1.0, 0.0, 1.0, 0.0, 1.0, "ground") for i in range(COPIES)]
+    blocks = boxes(spark, low + high + ground, ", payload string")
+    got, most = joined(spark, lambda: spatial.suspects(blocks, ["ground"], [""], 4.0))
+    # ground under emptiness; all others rest on one another
+    assert sorted(map(tuple, got)) == [(i, i >= 2 * COPIES) for i in range(3 * COPIES)] and most <= 5 * COPIES
+
+
+def test_suspects_is_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(*r, rng.choice(["ground", "ground", "", "stone", None])) for r in some(rng, [*range(150), None, None], 4)]
+    want = []
+    for p in rows:
+        low, top = p[5:7] if None not in p[5:7] else (float("nan"),) * 2  # meets nothing
+        up, down = (*p[:5], top, 2 * top - low), (*p[:5], 2 * low - top, low)
+        other = [q for q in rows if None not in (p[0], q[0]) and q[0] != p[0]]
+        want.append((p[0], any(q[7] == "" and meet(up, q[:7]) for q in other) if p[7] == "ground" else not any(meet(down, q[:7]) for q in other)))
+    assert 10 < sum(x for _, x in want) < len(want) - 10
+    for most in (spatial.BROADCAST, 0):
+        monkeypatch.setattr(spatial, "BROADCAST", most)
+        got = spatial.suspects(boxes(spark, rows, ", payload string"), ["ground"], [""], 4.0).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
