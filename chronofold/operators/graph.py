@@ -33,13 +33,17 @@ def ancestors(edges: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def ancestors_sql(spark, edges: DataFrame, name: str = "edges_", most: int = 100) -> DataFrame:
-    """The same as one recursive query, which needs a limit of its own."""
+    """The same as one recursive query, which needs a limit of its own.
+
+    LIMIT ALL lifts Spark's limit of a million rows (spark.sql.cteRecursionRowLimit).
+    Each step drops repeated rows, so it holds a pair once however many ways lead up.
+    """
     edges.createOrReplaceTempView(name)
     return spark.sql(f"""
-        WITH RECURSIVE up(node, ancestor, depth) AS (
-            SELECT child, parent, 1 FROM {name}
-            UNION ALL SELECT u.node, e.parent, u.depth + 1 FROM up u JOIN {name} e ON u.ancestor = e.child WHERE u.depth < {most} AND e.parent <> u.node)
-        SELECT node, ancestor, min(depth) AS depth FROM up GROUP BY node, ancestor""")
+        WITH RECURSIVE up(node, ancestor, depth) MAX RECURSION LEVEL {most + 1} AS (
+            SELECT DISTINCT child, parent, 1 FROM {name}
+            UNION ALL SELECT DISTINCT u.node, e.parent, u.depth + 1 FROM up u JOIN {name} e ON u.ancestor = e.child WHERE u.depth < {most} AND e.parent <> u.node)
+        SELECT node, ancestor, min(depth) AS depth FROM up GROUP BY node, ancestor LIMIT ALL""")
 
 
 def descendants(edges: DataFrame, root: str, most: int | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from chronofold.operators import spatial, upkeep
+from chronofold.operators import graph, spatial, upkeep
 
 COLS = "id long, min_x double, max_x double, min_y double, max_y double, min_z double, max_z double"
 #: Copies of one box; their pairs are a million.
@@ -139,3 +139,27 @@ def test_suspects_is_brute_force(spark, monkeypatch):
         monkeypatch.setattr(spatial, "BROADCAST", most)
         got = spatial.suspects(boxes(spark, rows, ", payload string"), ["ground"], [""], 4.0).collect()
         assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def limited(spark, key, most, run):
+    before = spark.conf.get(key)
+    spark.conf.set(key, most)
+    try:
+        return sorted(map(tuple, run().collect()))
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_recursive_ancestors_have_no_row_limit(spark):
+    # 200 leaves under two ways up, of which one is a cycle, and a repeated edge
+    rows = [(f"c{i}", f"n{i % 2}") for i in range(200)] + [("n0", "r"), ("n1", "r"), ("n1", "r"), ("r", "s"), ("s", "r"), ("n0", "n1")]
+    edges = spark.createDataFrame(rows, "child string, parent string")
+    got = limited(spark, "spark.sql.cteRecursionRowLimit", "100", lambda: graph.ancestors_sql(spark, edges, most=8))
+    assert got == sorted(map(tuple, graph.ancestors(edges).collect())) and len(got) > 600
+
+
+def test_recursive_ancestors_as_deep_as_asked(spark):
+    edges = spark.createDataFrame([("x", "a"), ("a", "b"), ("b", "a")], "child string, parent string")
+    # the way from x never ends, so the query goes as deep as it may
+    got = limited(spark, "spark.sql.cteRecursionLevelLimit", "5", lambda: graph.ancestors_sql(spark, edges, most=8))
+    assert got == [("a", "b", 1), ("b", "a", 1), ("x", "a", 1), ("x", "b", 2)]
