@@ -33,8 +33,9 @@ from chronofold.llm.common import drop, free_name, save, small_batches, text_of
 ROWS, BANDS = 5, 36
 #: Ids up to this number are sent to every executor (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Shingles of each side of a block (8 MB).
-BLOCK_CODES = 1_000_000
+#: Shingles of each side of a block (8 MB), and what a document counts besides its own: what is
+#: kept of it takes some hundred bytes, however few its shingles are.
+BLOCK_CODES, DOC_CODES = 1_000_000, 12
 
 
 def shingles(data: bytes, size: int) -> np.ndarray:
@@ -148,6 +149,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def block_counts(rows: DataFrame, name: str) -> DataFrame:
+    """cell and, as `name`, the number of parts that its rows (cell, codes) are dealt into."""
+    return rows.groupBy("cell").agg(F.ceil(F.sum(F.size("codes") + F.lit(DOC_CODES)) / BLOCK_CODES).cast("int").alias(name))
+
+
 def missed_links(members: DataFrame, ids: DataFrame, sets: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of components that a link between documents of one bucket joins.
 
@@ -159,12 +165,11 @@ def missed_links(members: DataFrame, ids: DataFrame, sets: DataFrame, own: DataF
     apart = sized.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max(F.struct("size", (-F.col("component")).alias("negative"))).alias("top")).where("least <> most").select("band", (-F.col("top.negative")).alias("cell"))
     outside = labelled.join(apart, "band").where("component <> cell").select("cell", "id", "component").distinct()
     outside = save(outside.join(sets.withColumnRenamed("doc_id", "id"), "id"), "outside")
-    cells = outside.groupBy("cell").agg(F.ceil(F.sum(F.size("codes")) / BLOCK_CODES).cast("int").alias("parts"))
+    cells = block_counts(outside, "parts")
     inside = ids.select(F.col("doc_id").alias("id")).join(own, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     inside = inside.join(cells.select(F.col("cell").alias("component")), "component", "left_semi").join(sets.withColumnRenamed("doc_id", "id"), "id")
     others = save(inside.select(F.col("component").alias("cell"), "id", "component", "codes").union(outside.select("cell", "id", "component", "codes")), "others")
-    other_cells = others.groupBy("cell").agg(F.ceil(F.sum(F.size("codes")) / BLOCK_CODES).cast("int").alias("other_parts"))
-    cells = cells.join(other_cells, "cell")
+    cells = cells.join(block_counts(others, "other_parts"), "cell")
     left = outside.join(cells, "cell").withColumn("part", F.pmod(F.hash("id"), F.col("parts"))).withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
     right = others.join(cells, "cell").withColumn("other_part", F.pmod(F.hash("id"), F.col("other_parts"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keys, kept = ["cell", "part", "other_part"], ["cell", "part", "other_part", "id", "component", "codes"]
@@ -184,28 +189,59 @@ def _columns(block: pa.Table) -> tuple[list[int], list[int], list[np.ndarray]]:
 
 
 def block_links(one, two, percent: int) -> list[tuple[int, int]]:
-    """Pairs of components that a confirmed link joins, one per document of `one` and component of `two`; linked documents share a bucket."""
+    """Pairs of components that a confirmed link joins, one per document of `one` and component of `two`.
+
+    Linked sets have at least percent of either in common, so they share one of
+    the first n - percent * n / 100 + 1 shingles of each in any one order.  With
+    the rarest first, documents that have only frequent shingles in common are not
+    compared, and only those first shingles are indexed.
+    """
     (ids, own, sets), (other_ids, others, other_sets) = one, two
-    where: dict[int, list[int]] = {}
-    for j, codes in enumerate(other_sets):
-        for key in bands(signature(codes)).tolist():
-            where.setdefault(key, []).append(j)
-    links = []
-    for i, codes in enumerate(sets):
-        near = {j for key in bands(signature(codes)).tolist() for j in where.get(key, ())}
-        done = {own[i]}
-        for j in sorted(near, key=lambda j: other_ids[j]):
+    sizes = np.fromiter(map(len, other_sets), np.int64, len(other_sets))
+    if not sizes.any():
+        return []
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    codes = np.concatenate(other_sets)
+    codes.sort()
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    counts = np.diff(first, append=len(codes)).astype(np.int32)
+    codes = codes[first]
+    del first
+    rank = np.empty(len(codes), np.int32)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(codes), dtype=np.int32)
+    del counts
+    ranks = np.empty(at[-1], np.int32)
+    for j, other in enumerate(other_sets):
+        ranks[at[j] : at[j + 1]] = rank[np.searchsorted(codes, other)]
+    firsts = sizes + (-percent * sizes) // 100 + 1
+    heads = [np.sort(ranks[at[j] : at[j + 1]])[: firsts[j]] for j in range(len(sizes))]
+    holders = np.repeat(np.arange(len(sizes), dtype=np.int32), [len(x) for x in heads])
+    heads = np.concatenate(heads)
+    holders = holders[np.argsort(heads, kind="stable")]
+    starts = np.concatenate(([0], np.cumsum(np.bincount(heads, minlength=len(codes)))))
+    del heads
+    number, part, has, links = np.array(other_ids, np.int64), np.array(others, np.int64), np.zeros(len(codes), bool), []
+    for i, mine in enumerate(sets):
+        n = len(mine)
+        place = np.minimum(np.searchsorted(codes, mine), len(codes) - 1)
+        known = np.sort(rank[place[codes[place] == mine]])
+        # shingles that no set of `two` has come first
+        head = known[: max(0, (-percent * n) // 100 + 1 + len(known))]
+        if not len(head):
+            continue
+        near = np.unique(np.concatenate([holders[starts[k] : starts[k + 1]] for k in head]))
+        m = sizes[near]
+        near = near[(part[near] != own[i]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))]
+        has[known] = True
+        done = set()
+        for j in near[np.argsort(number[near], kind="stable")].tolist():
             if others[j] in done:
                 continue
-            n, m = len(codes), len(other_sets[j])
-            if 100 * min(n, m) < percent * max(n, m):
-                continue
-            both = np.concatenate((codes, other_sets[j]))
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            if 100 * common >= percent * (n + m - common):
+            common = np.count_nonzero(has[ranks[at[j] : at[j + 1]]])
+            if 100 * common >= percent * (n + len(other_sets[j]) - common):
                 links.append((own[i], others[j]))
                 done.add(others[j])
+        has[known] = False
     return links
 
 

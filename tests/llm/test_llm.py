@@ -5,6 +5,8 @@ import hashlib
 import math
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from array import array
 
@@ -577,6 +579,59 @@ def test_missed_links_are_found():
     assert found == [(5, 7)]
 
 
+def test_blocks_of_short_documents_fit():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**63, 3).astype(np.uint64)) for _ in range(6000)]
+    ids = list(range(len(sets)))
+    tracemalloc.start()
+    try:
+        found = minhash.block_links(([-1], [-1], [sets[7]]), (ids, ids, sets), 80)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == [(-1, 7)]
+    assert peak < 2000 * len(sets)
+
+
+def test_block_links_against_all_pairs():
+    # sets of all sizes over few shingles, common and rare ones; some empty, some with shingles of their own
+    rng = np.random.default_rng(9)
+    pool = np.unique(rng.integers(0, 2**64, 60, dtype=np.uint64))
+    for percent in (50, 80, 81, 100):
+        linked = 0
+        for _ in range(40):
+            base = [pool[rng.random(60) < rng.choice([0.02, 0.1, 0.5, 0.9])] for _ in range(4)]
+            sets = [np.setxor1d(base[rng.integers(4)], pool[rng.random(60) < rng.choice([0, 0.02, 0.05])]) for _ in range(24)]
+            own = rng.integers(0, 20, 24).tolist()
+            one, two = (list(range(12)), own[:12], sets[:12]), (list(range(12, 24)), own[12:], sets[12:])
+            want = set()
+            for i in range(12):
+                for j in range(12, 24):
+                    common = len(np.intersect1d(sets[i], sets[j]))
+                    if own[i] != own[j] and common and 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                        want.add((own[i], own[j]))
+            assert set(minhash.block_links(one, two, percent)) == want
+            linked += len(want)
+        assert linked
+    for none in (([], [], []), ([1], [1], [pool[:0]])):
+        assert minhash.block_links(one, none, 80) == minhash.block_links(none, two, 80) == []
+
+
+def test_short_documents_that_share_words_are_not_compared_in_pairs():
+    # a form letter: pairs share most buckets, and no link
+    sets = [minhash.shingles(b"dear customer number %d many thanks" % i, 2) for i in range(4000)]
+    ids = list(range(len(sets)))
+    began = time.process_time()
+    assert minhash.block_links((ids, ids, sets), (ids, ids, sets), 80) == []
+    assert time.process_time() - began < 15
+
+
+def test_short_documents_are_dealt_into_blocks(spark):
+    # 300,000 sets of one shingle are a million codes and more with what a document takes
+    rows = spark.range(300_000).select((F.col("id") % 2).alias("cell"), F.array("id").alias("codes"))
+    assert {r.cell: r.parts for r in minhash.block_counts(rows, "parts").collect()} == {0: 2, 1: 2}
+
+
 def test_one_of_each_stays(docs):
     kept = minhash.keep_one_of_each(docs, 5, 80)
     assert kept.columns == docs.columns
