@@ -55,15 +55,17 @@ _SAVED: list[str] = []
 FILE_ROWS = 1_000_000
 
 
-def save(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+def save(df: DataFrame, tag: str, rows: int | None = None, dealt: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that lost executors cost no recomputation.
 
     rows: a bound on its rows, where rows are narrow and cheap; there are then no
-    more files than FILE_ROWS asks for.
+    more files than FILE_ROWS asks for.  dealt: making them is not cheap, so all
+    tasks do that and the rows are dealt to those that write.
     """
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+        files = max(1, -(-rows // FILE_ROWS))
+        df = df.repartition(files) if dealt else df.coalesce(files)
     path = f"{scratch(spark)}/chronofold/{tag}-{uuid.uuid4().hex}"
     _SAVED.append(path)
     df.write.parquet(path)

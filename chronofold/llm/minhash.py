@@ -257,14 +257,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """
     # copies of a set are one node, named by their least document
     rows = save(signatures(docs, size), "signatures")
+    count = rows.count()
     nodes = rows.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"))
     keyed = nodes.select("id", F.explode("bands").alias("band"))
     buckets = keyed.groupBy("band").agg(F.min("id").alias("centre"), F.max("id").alias("other")).where("centre <> other").select("band", "centre")
-    members = save(keyed.join(buckets, "band"), "members")
-    ids = save(members.select(F.col("id").alias("doc_id")).distinct(), "ids", members.count())
+    members = save(keyed.join(buckets, "band"), "members", BANDS * count, dealt=True)
+    places = members.count()
+    ids = save(members.select(F.col("id").alias("doc_id")).distinct(), "ids", places)
     sets = save(shingle_sets(docs, ids, size), "sets")
     pairs = members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-    links = save(confirm(pairs, sets, percent), "links")
+    links = save(confirm(pairs, sets, percent), "links", places, dealt=True)
     own = components(links)
     more = save(missed_links(members, ids, sets, own.select("id", "component"), percent), "links")
     joined = components(more)
@@ -272,7 +274,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # from nodes back to all copies: a node's component, and what that one was joined to
     first = nodes.select("print", "id").join(own.select("id", "component"), "id", "left").select("print", F.coalesce("component", "id").alias("first"))
     again = joined.select(F.col("id").alias("first"), "component")
-    named = save(first.join(again, "first", "left").select("print", F.coalesce("component", "first").alias("component")), "named")
+    named = save(first.join(again, "first", "left").select("print", F.coalesce("component", "first").alias("component")), "named", count)
     drop(members, ids, sets, links, own, more, joined)
     same = rows.select("doc_id", "n_shingles", "print")
     linked = same.where("print is not null and doc_id is not null").join(named, "print").select("doc_id", "n_shingles", "component")
